@@ -170,7 +170,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(path, pattern).bpe
         for batch in batches:
-            ids = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
+            ids = [bpe.encode(text.as_py() or "") for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["key", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -187,7 +187,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
-            found = [coder.of(text or "") for text in map(pa.Scalar.as_py, batch.column(1))]
+            found = [coder.of(text.as_py() or "") for text in batch.column(1)]
             n, ids, plain = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
