@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkgraph.llm import bpe, secrets, urls
+from linkgraph.llm import bpe, personal, secrets, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, key = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return token_files.read(shards, key)
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 #: The rules of the registered query: verdict, and host with path.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -32,7 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {"op4_url_rules": op4_url_rules, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op2_token_files": op2_token_files, "op3_personal_data": op3_personal_data, "op4_url_rules": op4_url_rules, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_rules": """
