@@ -38,8 +38,8 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of ids from which a frame is closed; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 17
 LEVEL = 3
-#: Pieces whose ids one worker remembers.
-REMEMBERED = 400_000
+#: Pieces whose ids one worker remembers in each of two generations.
+REMEMBERED = 300_000
 
 
 class ChecksumError(ValueError):
@@ -176,7 +176,8 @@ class PieceEncoder:
         if pattern is not None and (self.library.normalizer is not None or "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer)):
             raise ValueError("not a byte-level tokenizer: give no pattern")
         self.findall = pattern and regex.compile(pattern).findall
-        self.seen: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, f"<u{self.width}").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,12 +185,15 @@ class PieceEncoder:
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if not self.findall:
             return [x + end for x in self._encode(texts)]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+        if len(self.young) > REMEMBERED:  # what is not met again within a generation is forgotten
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         split = [self.findall(x) for x in texts]
-        new = list(set().union(*split).difference(self.seen))
-        self.seen.update(zip(new, self._encode(new), strict=True))
-        get = self.seen.__getitem__
+        wanted = [x for x in set().union(*split) if x not in young]
+        young.update((x, old[x]) for x in wanted if x in old)
+        new = [x for x in wanted if x not in young]
+        young.update(zip(new, self._encode(new), strict=True))
+        get = young.__getitem__
         return [b"".join(map(get, x)) + end for x in split]
 
 
