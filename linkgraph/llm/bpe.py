@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 LEAF_CHARS, LEAF_BYTES = 4096, 48
 #: Pieces that can still change at the end of a window.
 SPARE = 4
-#: Pieces whose encoding one worker remembers; the memory of them is bounded by it.
-REMEMBERED = 400_000
+#: Pieces whose encoding one worker remembers in each of two generations.
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,19 +133,23 @@ class Digests:
     """Digests of ids and of decoded bytes, with the pieces seen of late remembered."""
 
     def __init__(self, bpe: TreeBpe) -> None:
-        self.bpe, self.seen = bpe, {}
+        self.bpe, self.young, self.old = bpe, {}, {}
 
     def piece(self, piece: str) -> tuple[str, bytes, int]:
+        if piece in self.old:
+            found = self.young[piece] = self.old[piece]
+            return found
         ids = self.bpe.encode_piece(piece)
         found = ",".join(map(str, ids)), self.bpe.decode(ids), len(ids)
         if len(piece) <= 64:
-            self.seen[piece] = found
+            self.young[piece] = found
         return found
 
     def of(self, text: str) -> tuple[int, str, str]:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        found = [self.seen.get(x) or self.piece(x) for x in self.bpe.split(text)]
+        if len(self.young) > REMEMBERED:  # what is not met again within a generation is forgotten
+            self.young, self.old = {}, self.young
+        get = self.young.get
+        found = [get(x) or self.piece(x) for x in self.bpe.split(text)]
         ids, plain, counts = zip(*found, strict=True) if found else ((), (), ())
         return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(plain)).hexdigest()
 
