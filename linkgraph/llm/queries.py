@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import bpe, contamination, near_duplicates, personal, quality, secrets, token_files, topk, urls
+from linkgraph.llm import bpe, contamination, near_duplicates, personal, quality, repeats, secrets, token_files, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -59,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {"op1_near_duplicates": op1_near_duplicates, "op2_token_files": op2_token_files, "op3_personal_data": op3_personal_data, "op4_url_rules": op4_url_rules, "op6_top_k": op6_top_k, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_contamination": op9_contamination, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_near_duplicates": op1_near_duplicates, "op2_token_files": op2_token_files, "op3_personal_data": op3_personal_data, "op4_url_rules": op4_url_rules, "op5_repeats": op5_repeats, "op6_top_k": op6_top_k, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_contamination": op9_contamination, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": r"""
@@ -79,6 +83,23 @@ WITH RECURSIVE words AS (
 )
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
 FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+""",
+    "op5_repeats": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS phrase
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM words WHERE len(w) >= 50)
+), least AS (SELECT phrase, min(doc_id) AS first_doc FROM windows GROUP BY phrase
+), repeated AS (SELECT doc_id, i FROM windows JOIN least USING (phrase) WHERE first_doc < doc_id
+), removed AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS place FROM repeated
+), kept AS (
+  SELECT v.doc_id, string_agg(v.word, ' ' ORDER BY v.place) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words) v LEFT JOIN removed r ON r.doc_id = v.doc_id AND r.place = v.place
+  WHERE r.place IS NULL GROUP BY v.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
 """,
     "op6_top_k": """
 WITH v AS (
