@@ -8,11 +8,12 @@ then compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,34 @@ _HITS = "array<struct<s:int,e:int>>"
 _HITS_ARROW = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Callable[[], Broadcast]]:
+    """What broadcasts each slice of the items; a slice is collected only when its turn comes."""
+    items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("text")).dropna()
+    size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    passes = -(-2 * size // BROADCAST_CHARS) if size > BROADCAST_CHARS else 1
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k) if passes > 1 else items
+        yield lambda part=part: benchmark.sparkSession.sparkContext.broadcast(Index([(x.name, x.text) for x in part.collect()]))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without any occurrence of an item's window, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def search(index: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _text.slices(batch.column(place)):
+                    hits = index.value.search(part)[1]
+                    yield batch.slice(part.first, len(part)).filter(pa.array([d not in hits for d in range(len(part))], pa.bool_()))
+
+        return run
+
+    for k, make in enumerate(_indexes(benchmark, item_col, item_text_col)):
+        docs = (_shared.written(docs, "contamination") if k else docs).mapInArrow(search(make()), docs.schema)
+    return docs
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id_col, n_words long, hits array<struct<s int, e int>> (word intervals), items array<string> (sorted).
 
@@ -153,15 +182,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     texts are searched.  Items go to the executors in slices of at most BROADCAST_CHARS, each a
     pass of its own whose rows are written to the shared folder; no document is shuffled.
     """
-    spark, key = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[item_text_col].alias("text")).dropna()
-    size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-2 * size // BROADCAST_CHARS)) if size > BROADCAST_CHARS else 1
+    key = docs.schema[id_col].dataType.simpleString()
+    indexes = list(_indexes(benchmark, item_col, item_text_col))
     state = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k) if passes > 1 else items
-        index = spark.sparkContext.broadcast(Index([(x.name, x.text) for x in part.collect()]))
-        last = k == passes - 1
+    for k, make in enumerate(indexes):
+        index, last = make(), k == len(indexes) - 1
         if k:
             state = _shared.written(state, "contamination")
         state = state.mapInArrow(_pass(index, first=not k, text=not last or with_text), f"key {key}, {'' if last and not with_text else 'text string, '}n_words long, hits {_HITS}, items array<string>")

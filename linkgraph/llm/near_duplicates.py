@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.llm import _shared, _text
 
-#: Words of a shingle.
+#: Words of a shingle, unless told otherwise.
 WORDS = 4
 #: Least similarity, as a fraction: 4 / 5.
 TIMES, OF = 4, 5
@@ -39,7 +39,7 @@ _TIMES = _rng.integers(0, 2**32, (PERMUTATIONS, 1), dtype=np.uint32) | np.uint32
 _MERGE = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_sets(part: _text.Slice, k: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(part: _text.Slice, k: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each document, hashed; of fewer than k words, the whole sequence as one."""
     starts, ends, first = part.words(_text.NON_SPACE)
     words = part.word_hashes(starts, ends, lower=True)
@@ -63,10 +63,10 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return _text.mix(merged).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _text.slices(batch.column(1)):
-            sets = shingle_sets(part)
+            sets = shingle_sets(part, words)
             full = [d for d, x in enumerate(sets) if len(x)]
             keys = band_keys(np.stack([signature(sets[d]) for d in full])) if full else np.zeros((0, BANDS), np.int64)
             bands: list[np.ndarray | None] = [None] * len(sets)
@@ -82,7 +82,7 @@ def _similar(a: int, b: int, shared: int) -> bool:
     return OF * shared >= TIMES * (a + b - shared)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Of each pair (r, x) with texts: whether they are linked, and the beginning of S(x).
 
     In S(x) come first what only x has, then what only r has, each in the order of the hashes.
@@ -97,7 +97,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.sort(np.unique(ids, return_index=True)[1])
             texts = batch.column(name).take(pa.array(at))
             for part in _text.slices(texts):
-                for k, x in enumerate(shingle_sets(part)):
+                for k, x in enumerate(shingle_sets(part, words)):
                     sets.setdefault((name, int(ids[at[part.first + k]])), x)
         for row, (r, x) in enumerate(zip(batch.column("r").to_pylist(), batch.column("x").to_pylist(), strict=True)):
             a, b = sets["text_r", r], sets["text_x", x]
@@ -120,11 +120,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COMPARED = "r long, x long, linked boolean, n long, size long, reach_x int, reach_y int, start array<long>"
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """pairs (r, x) with both texts brought together."""
     one = texts.select(F.col("id").alias("x"), F.col("text").alias("text_x"))
     other = texts.select(F.col("id").alias("r"), F.col("text").alias("text_r"))
-    return pairs.join(one, "x").join(other, "r").select("r", "x", "text_r", "text_x").mapInArrow(_compare, _COMPARED)
+    return pairs.join(one, "x").join(other, "r").select("r", "x", "text_r", "text_x").mapInArrow(lambda batches: _compare(batches, words), _COMPARED)
 
 
 def _missed(stars: DataFrame) -> DataFrame:
@@ -167,10 +167,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles long, component_id, kept boolean of every document.
 
-    A document's set: the distinct shingles of WORDS words of its whole text, with A-Z in lower
+    A document's set: the distinct shingles of ``words`` words of its whole text, with A-Z in lower
     case; with fewer words, all of them as one; null and empty texts have none and are linked
     with nothing.  Documents at TIMES / OF or more are linked, on the whole sets; component_id
     is the smallest id that links reach, kept says that it is the document's own.  Documents of
@@ -179,7 +179,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns are not looked at; an empty table gives an empty result.
     """
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    signed = _shared.written(source.mapInArrow(_sign, "id long, n long, content binary, bands array<long>"), "signatures")
+    signed = _shared.written(source.mapInArrow(lambda batches: _sign(batches, words), "id long, n long, content binary, bands array<long>"), "signatures")
     named = signed.where("n > 0 AND id IS NOT NULL")
     classes = named.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
     # Copies of a set go with its smallest id.
@@ -189,8 +189,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = _shared.written(keys.join(pivots, "key").where("node <> r").select("r", F.col("node").alias("x")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("r", "x")).alias("id")).distinct()
     texts = _shared.written(source.join(ids, "id", "left_semi"), "texts")
-    stars = _shared.written(_compared(pairs, texts), "stars")
-    more = _compared(_missed(stars), texts)
+    stars = _shared.written(_compared(pairs, texts, words), "stars")
+    more = _compared(_missed(stars), texts, words)
     edges = stars.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")).unionByName(more.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")))
     # An id with several texts ties their classes together.
     tied = nodes.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
@@ -201,3 +201,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     joined = owned.join(found.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("component", "node")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that find keeps, with all their columns; of repeated rows of a kept id, one."""
+    found = find(docs.select(id_col, text_col), words, id_col, text_col)
+    lost = found.where("NOT kept").select(F.col(id_col).alias("lost")).distinct()
+    rows = docs.join(lost, docs[id_col].eqNullSafe(lost["lost"]), "left_anti")
+    if docs.where(docs[id_col].isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        null, some = rows.where(rows[id_col].isNull()), rows.where(rows[id_col].isNotNull())
+        return some.dropDuplicates([id_col]).unionByName(null)
+    return rows

@@ -106,13 +106,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     rows stay; a text is scanned whole, in one pass of each pattern; other columns are not
     looked at.  No row leaves its partition.
     """
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = _scanned(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text", allowed)
+    return rows.select(F.col("row.id").alias(id_col), "text", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
+
+
+def _scanned(docs: DataFrame, text_col: str, allowed: Sequence[str]) -> DataFrame:
+    """row (all columns of docs), text, base, more."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     named = base_spans(F.col("text"))
     tag = lambda kind, spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[tag(k, v) for k, v in named.items()])))
     rows = rows.withColumn("more", tag("entropy", entropy_spans(F.col("text"), allowed)))
-    rows = rows.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
-    return rows.select(F.col("id").alias(id_col), "text", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
+    return rows.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
 
 
 def listed(spans: Column) -> Column:
@@ -127,11 +132,22 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Column:
-    """The text of a scan with each span replaced; overlapping spans are replaced together."""
+def redact(text: Column, spans: Column, mark: str) -> Column:
+    """text with each of the spans, in order, replaced; overlapping spans are replaced together."""
+
     def step(state: Column, x: Column) -> Column:
-        fresh = x["s"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(found[text_col], state["at"] + 1, x["s"] - state["at"]), F.lit(mark))).otherwise(state["out"])
+        out = F.when(x["s"] >= state["at"], F.concat(state["out"], F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], x["e"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(found["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(found[text_col], s["at"] + 1, F.char_length(found[text_col]))))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+
+
+def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
+    """All rows and columns of docs, with the secrets of the text replaced by mark, and length_col made to follow where a text changes."""
+    rows = _scanned(docs, text_col, allowed).withColumn("spans", F.array_sort(F.concat("base", "more")))
+    found = F.size("spans") > 0
+    rows = rows.withColumn("clean", F.when(found, redact(F.col("text"), F.col("spans"), mark)))
+    changed = {text_col: F.coalesce("clean", f"row.`{text_col}`")}
+    if length_col in docs.columns:
+        changed[length_col] = F.when(found, F.char_length("clean").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
+    return rows.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
