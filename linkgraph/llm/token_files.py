@@ -15,6 +15,7 @@ frames of the documents asked for.  Checksums are the low 32 bits of XXH64.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,6 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,8 +38,10 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of ids from which a frame is closed; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 17
 LEVEL = 3
-#: Pieces whose ids one worker remembers in each of two generations.
-REMEMBERED = 300_000
+#: Words whose ids one worker remembers in each of two generations; new words that go through the library as one text.
+REMEMBERED, TOGETHER = 400_000, 500
+#: Characters of a word that is remembered.
+LONGEST = 200
 
 
 class ChecksumError(ValueError):
@@ -159,54 +161,106 @@ class Reader:
         yield from self.documents(i for i, key in enumerate(self.keys.to_pylist()) if key in wanted)
 
 
+class Remembered:
+    """Ids by string; what is not met again within a generation is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """What is not remembered of wanted; the rest is now in young."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {"": b""}, self.young
+        young, old = self.young, self.old
+        new = wanted.difference(young)
+        back = [x for x in new if x in old] if old else []
+        young.update(zip(back, map(old.__getitem__, back), strict=True))
+        return list(new.difference(back))
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, as bytes.
 
     A byte-level tokenizer without a normaliser encodes each match of its splitting pattern by
-    itself, so each distinct match goes through the library once and is then remembered; for
-    any other tokenizer, pattern must be None and whole texts go through it.
+    itself.  A space or line feed between two characters that are no blanks always begins such
+    a match, and that line feed is a match of its own.  So texts are cut there into words, and
+    each distinct word goes through the library once, together with others, and is remembered.
+    For any other tokenizer pass byte_level=False, and whole texts go through the library.
     """
 
-    def __init__(self, path: str, pattern: str | None) -> None:
+    def __init__(self, path: str, byte_level: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        if pattern is not None and (self.library.normalizer is not None or "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer)):
-            raise ValueError("not a byte-level tokenizer: give no pattern")
-        self.findall = pattern and regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
+        if byte_level and (self.library.normalizer is not None or "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer)):
+            raise ValueError("not a byte-level tokenizer: pass byte_level=False")
+        self.byte_level = byte_level
+        #: Bytes of each token; a byte-level vocabulary writes each byte as one character.
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.words = Remembered()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, f"<u{self.width}").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, text: str) -> list[str] | None:
+        """None for a text that can't be cut this way."""
+        if "\x1f" in text or _BLANKS.search(text):
+            return None
+        return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids.  Words are joined where they still begin and end matches, then told apart by their bytes."""
+        alone, joined, parts = [], [], []
+        for k, w in enumerate(words):
+            if w[-1].isspace() or w[0].isspace() and w[0] != " ":
+                alone.append(k)
+            else:
+                joined.append(k)
+                parts.append(w if w[0] == " " else "\n" + w)
+        out: list[bytes] = [b""] * len(words)
+        for k, ids in zip(alone, self._encode([words[k] for k in alone]), strict=True):
+            out[k] = ids
+        texts = ["".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.ids, np.int64) for x in self.library.encode_batch_fast(texts, add_special_tokens=False))])
+        ends, wanted = np.cumsum(self.size[ids]), np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in parts])
+        stop = np.searchsorted(ends, wanted) + 1
+        if len(wanted) and not np.array_equal(ends[stop - 1], wanted):
+            raise ValueError("a token crosses words: not a byte-level tokenizer")
+        raw, stop = ids.astype(f"<u{self.width}").tobytes(), [0, *(stop * self.width).tolist()]
+        for k, first, last in zip(joined, stop[:-1], stop[1:], strict=True):
+            out[k] = raw[first if words[k][0] == " " else first + self.width : last]
+        return out
+
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        if not self.findall:
+        if not self.byte_level:
             return [x + end for x in self._encode(texts)]
-        if len(self.young) > REMEMBERED:  # what is not met again within a generation is forgotten
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        split = [self.findall(x) for x in texts]
-        wanted = [x for x in set().union(*split) if x not in young]
-        young.update((x, old[x]) for x in wanted if x in old)
-        new = [x for x in wanted if x not in young]
-        young.update(zip(new, self._encode(new), strict=True))
-        get = young.__getitem__
-        return [b"".join(map(get, x)) + end for x in split]
+        cut = [self._cut(x) for x in texts]
+        whole = iter(self._encode([t for t, x in zip(texts, cut, strict=True) if x is None]))
+        wanted = set().union(*(x for x in cut if x is not None))
+        long = {w: ids for w, ids in [(w, self._encode([w])[0]) for w in wanted if len(w) > LONGEST]}
+        new = self.words.missing(wanted.difference(long))
+        self.words.young.update(zip(new, self._encode_words(new), strict=True))
+        word = self.words.young.__getitem__ if not long else (self.words.young | long).__getitem__
+        return [(next(whole) if x is None else b"".join(map(word, x))) + end for x in cut]
 
 
-_encoders: dict[tuple[str, str | None], PieceEncoder] = {}
+#: Two blanks in a row, of any kind that a splitting pattern can know; such a text isn't cut.
+_BLANKS = re.compile(r"\s\s")
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str, pattern: str | None) -> PieceEncoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = PieceEncoder(path, pattern)
-    return _encoders[path, pattern]
+def _encoder(path: str, byte_level: bool) -> PieceEncoder:
+    if (path, byte_level) not in _encoders:
+        _encoders[path, byte_level] = PieceEncoder(path, byte_level)
+    return _encoders[path, byte_level]
 
 
-def _chunks(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[tuple[list[object], list[str]]]:
+def _chunks(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[tuple[list[object], list[str]]]:
     keys, texts, held = [], [], 0
     for key, text in zip(batch.column(0), batch.column(1), strict=True):
         keys.append(key.as_py())
@@ -221,7 +275,7 @@ def _chunks(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[tuple[list[
 SHARDS = "shard int, path string, n_docs long, n_ids long"
 
 
-def write(docs: DataFrame, path: str, pattern: str | None, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataType]:
+def write(docs: DataFrame, path: str, end_id: int, byte_level: bool = True, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataType]:
     """Encode every whole text and write the ids in ascending order of id_col: shard, path, n_docs, n_ids; and the type of the keys.
 
     Each shard is one file and holds a range of keys; shard numbers ascend with the keys.  Rows
@@ -234,7 +288,7 @@ def write(docs: DataFrame, path: str, pattern: str | None, end_id: int, folder:
     key_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = _encoder(path, pattern), TaskContext.get()
+        encoder, context = _encoder(path, byte_level), TaskContext.get()
         end = np.asarray([end_id], f"<u{encoder.width}").tobytes()
         batch = next(batches, None)
         while batch is not None and not len(batch):
