@@ -56,10 +56,13 @@ def newline(text: Column) -> Column:
     return F.when(text.contains("\r\n"), F.lit("\r\n")).otherwise(F.lit("\n"))
 
 
-def uuid_insertion(text: Column, uuid: Column) -> Column:
+def head_length(text: Column) -> Column:
+    """Characters of the block's opening line; 0 without a block."""
+    return F.char_length(F.regexp_extract(text, _HEAD, 1))
+
+
+def uuid_insertion(head: Column, has_block: Column, newline: Column, uuid: Column) -> Column:
     """The edit struct<s, e, r> that gives a document a uuid: after the opening line of its block, or as a new block."""
-    head = F.regexp_extract(text, _HEAD, 1)
-    line = F.concat(F.lit("uuid: "), uuid, newline(text))
-    block = F.concat(F.lit("---"), newline(text), line, F.lit("---"), newline(text), newline(text))
-    at = F.char_length(head)
-    return F.struct(at.alias("s"), at.alias("e"), F.when(has_frontmatter(text), line).otherwise(block).alias("r"))
+    line = F.concat(F.lit("uuid: "), uuid, newline)
+    block = F.concat(F.lit("---"), newline, line, F.lit("---"), newline, newline)
+    return F.struct(head.alias("s"), head.alias("e"), F.when(has_block, line).otherwise(block).alias("r"))

@@ -123,16 +123,18 @@ def robust_links(text: Column, spans: Column) -> Column:
 
 def all_links(text: Column) -> Column:
     """Inline links, each with the attributes and uuid comment that follow it, if any."""
-    return scanned(text, PLAIN, text=1, href=2, attrs=3, tail=4, uuid=5)
+    found = scanned(text, PLAIN, text=1, href=2, attrs=3, tail=4, uuid=5)
+    return F.when(text.contains("]("), found).otherwise(F.filter(found, lambda m: F.lit(False)))
 
 
-def plain_links(text: Column, spans: Column) -> Column:
-    return F.filter(all_links(text), lambda m: (m["tail"] == "") & ~inside(m["s"], spans))
+def plain_links(links: Column, spans: Column) -> Column:
+    """Of all_links, those without a uuid comment, outside spans."""
+    return F.filter(links, lambda m: (m["tail"] == "") & ~inside(m["s"], spans))
 
 
-def detached_anchors(text: Column, spans: Column) -> Column:
+def detached_anchors(text: Column, links: Column, spans: Column) -> Column:
     """uuid comments that follow no link, outside spans; gap: the blanks before them on their line."""
-    attached = F.transform(F.filter(all_links(text), lambda m: m["tail"] != ""), lambda m: m["e"] + F.char_length(m["attrs"]) + F.char_length(m["tail"]))
+    attached = F.transform(F.filter(links, lambda m: m["tail"] != ""), lambda m: m["e"] + F.char_length(m["attrs"]) + F.char_length(m["tail"]))
     found = F.filter(scanned(text, _COMMENT, uuid=1), lambda m: ~F.array_contains(attached, m["e"]) & ~inside(m["s"], spans))
     return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["line"].alias("line"), F.lower(m["uuid"]).alias("uuid"), F.char_length(F.regexp_extract(m["before"], r"[ \t]*$", 0)).alias("gap")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.functions import frontmatter, paths, tokens
+from linkgraph.plans.cut import cut
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,8 @@ class Tree:
     def of(cls, docs: DataFrame, more: DataFrame | None = None, options: Options = Options()) -> Tree:
         """From any table with path and content; entries are its files with their directories, and more.
 
-        Rows in excluded directories are entries but no documents.
+        Rows in excluded directories are entries but no documents.  entries are materialised,
+        for every lookup of a target reads them.
         """
         files = docs.select("path", F.lit("file").alias("type"))
         if more is not None:
@@ -62,27 +64,39 @@ class Tree:
         parts = F.split("path", "/")
         above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
         dirs = files.select(F.explode(F.concat(F.array(F.lit(".")), above)).alias("path")).select("path", F.lit("dir").alias("type"))
-        entries = files.unionByName(dirs).groupBy("path").agg(F.max("type").alias("type"))
+        entries = cut(files.unionByName(dirs).groupBy("path").agg(F.max("type").alias("type")))
         kept = docs.where(F.lower("path").endswith(".md") & ~paths.within_excluded(paths.parent(F.col("path")), options.all_excludes))
         return cls(kept, entries)
 
 
 def prepared(tree: Tree, options: Options) -> DataFrame:
-    """path, content, ignored, link_ignored, fm_status, fm_uuid, spans; documents with null content are left out.
+    """What one pass over the contents finds, without the contents; materialised, for all analyses read it.
 
-    spans: code and generated blocks.  They are computed only for documents whose links are read.
+    path; ignored and link_ignored (opt-outs); fm_status, fm_uuid, has_block, head (characters of
+    the frontmatter's first line), newline; robust, plain, strays and web, the links and anchors
+    outside code and generated blocks, as arrays.  Documents with null content are left out.
     """
-    text = F.col("content")
-    code = tokens.code_spans(text)
+    text, code = F.col("content"), F.col("code")
     docs = tree.docs.select("path", "content").where("content IS NOT NULL")
-    docs = docs.withColumn("ignored", tokens.carries_marker(text, f"{options.marker_prefix}-ignore-file", code)).withColumn("link_ignored", ~F.col("ignored") & tokens.carries_marker(text, f"{options.marker_prefix}-ignore-links", code))
-    docs = docs.withColumn("fm", frontmatter.read_uuid(text))
-    spans = F.when(~F.col("ignored") & ~F.col("link_ignored") & text.contains("<!--") | text.contains("]("), F.concat(tokens.block_spans(text, options.ignore_blocks), code)).otherwise(tokens.none(tokens.SPANS))
-    return docs.select("path", "content", "ignored", "link_ignored", F.col("fm.status").alias("fm_status"), F.col("fm.uuid").alias("fm_uuid"), spans.alias("spans"))
+    # A column for each step: what several expressions use is computed once and planned once.
+    docs = docs.withColumn("fenced", tokens.fenced_spans(text))
+    docs = docs.withColumn("code", F.concat("fenced", tokens.inline_spans(text, F.col("fenced"))))
+    docs = docs.withColumn("spans", F.concat(tokens.block_spans(text, options.ignore_blocks), code))
+    docs = docs.withColumn("ignored", tokens.carries_marker(text, f"{options.marker_prefix}-ignore-file", code))
+    docs = docs.withColumn("link_ignored", ~F.col("ignored") & tokens.carries_marker(text, f"{options.marker_prefix}-ignore-links", code))
+    docs = docs.withColumn("fm", frontmatter.read_uuid(text)).withColumn("links", tokens.all_links(text))
+    own, spans = ~F.col("ignored") & ~F.col("link_ignored"), F.col("spans")
+    kept = lambda found: F.when(own, found).otherwise(F.filter(found, lambda m: F.lit(False)))
+    return cut(docs.select(
+        "path", "ignored", "link_ignored", F.col("fm.status").alias("fm_status"), F.col("fm.uuid").alias("fm_uuid"),
+        frontmatter.has_frontmatter(text).alias("has_block"), frontmatter.head_length(text).alias("head"), frontmatter.newline(text).alias("newline"),
+        kept(tokens.robust_links(text, spans)).alias("robust"), kept(tokens.plain_links(F.col("links"), spans)).alias("plain"),
+        kept(tokens.detached_anchors(text, F.col("links"), spans)).alias("strays"), tokens.web_links(text, spans, options.marker_prefix).alias("web"),
+    ))
 
 
 def uuid_index(docs: DataFrame) -> DataFrame:
-    """uuid, n, path (the first), paths; n > 1 means that the uuid is ambiguous.  From prepared documents."""
+    """uuid, n, path (the first), paths; n > 1 means that the uuid is ambiguous.  """
     own = docs.where("NOT ignored AND fm_status = 'valid' AND fm_uuid IS NOT NULL")
     return own.groupBy(F.col("fm_uuid").alias("uuid")).agg(F.count("*").alias("n"), F.min("path").alias("path"), F.sort_array(F.collect_list("path")).alias("paths"))
 

@@ -27,8 +27,7 @@ class Repair:
 
 def robust_links(docs: DataFrame) -> DataFrame:
     """path, s, e, line, text, href, attrs, uuid of the robust links that are read, web links among them."""
-    links = F.explode(tokens.robust_links(F.col("content"), F.col("spans")))
-    rows = docs.where("NOT ignored AND NOT link_ignored").select("path", links.alias("l"))
+    rows = docs.select("path", F.explode("robust").alias("l"))
     return rows.select("path", *(F.col(f"l.{k}").alias(k) for k in ("s", "e", "line", "text", "href", "attrs")), F.lower("l.uuid").alias("uuid"))
 
 
@@ -70,4 +69,4 @@ def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = Non
     silent = documents.scoped(docs.where("link_ignored").select("path"), scope).where("scoped")
     found = found.unionByName(documents.findings(silent, "integrity", "ignored_links", F.lit("its links are left as they are; it is still a target")))
     edits = rows.where("scoped AND kind = 'repair'").select("path", "s", "e", tokens.robust_link(F.col("text"), F.col("new_href"), F.col("uuid"), F.col("attrs")).alias("r"))
-    return Repair(found, edits, rows.where("NOT scoped").groupBy("path").agg(F.count("*").alias("n")), docs)
+    return Repair(found, edits, rows.where("NOT scoped").groupBy("path").agg(F.count("*").alias("n")), tree.docs)

@@ -32,14 +32,13 @@ class Robustify:
 
 def plain_links(docs: DataFrame) -> DataFrame:
     """path, s, e, line, text, href, attrs of the plain links that are read."""
-    links = F.explode(tokens.plain_links(F.col("content"), F.col("spans")))
-    rows = docs.where("NOT ignored AND NOT link_ignored").select("path", links.alias("l"))
+    rows = docs.select("path", F.explode("plain").alias("l"))
     return rows.select("path", *(F.col(f"l.{k}").alias(k) for k in ("s", "e", "line", "text", "href", "attrs")))
 
 
 def detached(docs: DataFrame) -> DataFrame:
     """path, s, e, line, uuid, gap of uuid comments that follow no link."""
-    rows = docs.where("NOT ignored AND NOT link_ignored").select("path", F.explode(tokens.detached_anchors(F.col("content"), F.col("spans"))).alias("a"))
+    rows = docs.select("path", F.explode("strays").alias("a"))
     return rows.select("path", *(F.col(f"a.{k}").alias(k) for k in ("s", "e", "line", "uuid", "gap")))
 
 
@@ -98,15 +97,15 @@ def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = Non
     found = found.unionByName(own(silent, "strict", "ignored_links", F.lit("its links are left as they are; it is still a target")))
     created = planned.select(F.col("readme").alias("path"), F.concat(F.lit("---\nuuid: "), "uuid", F.lit("\n---\n\n# "), "name", F.lit("\n")).alias("new_content"))
     found = found.unionByName(own(created, "strict", "create_readme", F.lit(f"is created, with {NEW}")))
-    minted_docs = decisions.where("outcome = 'mint'").select(F.col("target").alias("path"), "uuid").join(docs.select("path", "content"), "path")
-    insertion = frontmatter.uuid_insertion(F.col("content"), F.col("uuid"))
+    minted_docs = decisions.where("outcome = 'mint'").select(F.col("target").alias("path"), "uuid").join(docs.select("path", "head", "has_block", "newline"), "path")
+    insertion = frontmatter.uuid_insertion(F.col("head"), F.col("has_block"), F.col("newline"), F.col("uuid"))
     edits = edits.unionByName(minted_docs.select("path", insertion.alias("x")).select("path", "x.s", "x.e", "x.r"))
     if scope is not None:
         outside = documents.scoped(minted_docs.select("path"), scope).where("NOT scoped")
         found = found.unionByName(own(outside, "strict", "target_uuid_write", F.lit("gets a uuid outside the scope, so that a link can be anchored")))
     known = docs.where("NOT ignored AND fm_status = 'valid' AND fm_uuid IS NOT NULL").select(F.col("path").alias("target"))
     suppressed = wanted.where("NOT scoped").join(known, "target", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
-    return Robustify(found, edits, created, decisions, suppressed, docs)
+    return Robustify(found, edits, created, decisions, suppressed, tree.docs)
 
 
 def _planned_readmes(links: DataFrame, docs: DataFrame, options: Options, scope: DataFrame | None) -> DataFrame:
@@ -125,7 +124,7 @@ def _planned_readmes(links: DataFrame, docs: DataFrame, options: Options, scope:
 
 def _decisions(targets: DataFrame, docs: DataFrame, planned: DataFrame, options: Options, scope: DataFrame | None) -> DataFrame:
     """target, outcome, uuid: one decision for each target, however many links name it."""
-    known = docs.select(F.col("path").alias("target"), "ignored", "fm_status", "fm_uuid", frontmatter.has_frontmatter(F.col("content")).alias("has_block"))
+    known = docs.select(F.col("path").alias("target"), "ignored", "fm_status", "fm_uuid", "has_block")
     rows = targets.join(known, "target", "left").join(planned.select(F.col("readme").alias("target"), F.col("uuid").alias("planned")), "target", "left")
     rows = documents.scoped(rows, scope, "writable", "target")
     outcome = (

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions import frontmatter, paths, tokens
 from linkgraph.operators import documents, splice
-from linkgraph.operators.documents import Options
+from linkgraph.operators.documents import Options, Tree
 
 # Fixed patterns of addresses.
 _BLOB = r"^https?://(?:www\.)?github\.com/([^/]+)/([^/]+)/(?:blob|raw)/([^/]+)/([^#?]+)"
@@ -38,12 +38,12 @@ def parsed_url(href: Column) -> Column:
     return F.when(url.rlike(_BLOB) & ~url.rlike(_UNSENDABLE), fields)
 
 
-def web_links(docs: DataFrame, options: Options) -> DataFrame:
+def web_links(docs: DataFrame) -> DataFrame:
     """path, s, e, line, text, href, uuid (null for a plain link), exempt, filtered of every web link.
 
     Documents that opted out are read too; filtered marks their links.
     """
-    rows = docs.select("path", (F.col("ignored") | F.col("link_ignored")).alias("filtered"), F.explode(tokens.web_links(F.col("content"), F.col("spans"), options.marker_prefix)).alias("l"))
+    rows = docs.select("path", (F.col("ignored") | F.col("link_ignored")).alias("filtered"), F.explode("web").alias("l"))
     uuid = F.when(F.col("l.uuid") != "", F.lower("l.uuid"))
     return rows.select("path", *(F.col(f"l.{k}").alias(k) for k in ("s", "e", "line", "text", "href")), uuid.alias("uuid"), (F.col("l.exempt") != "").alias("exempt"), "filtered")
 
@@ -67,11 +67,12 @@ class WebCheck:
         return counts.withColumn("code", code)
 
 
-def check(docs: DataFrame, fetches: DataFrame, options: Options = Options(), owners: tuple[str, ...] = (), have_token: bool = False) -> WebCheck:
-    """fetches: href, status, body; links without a fetch count as network errors. docs: prepared."""
+def check(tree: Tree, fetches: DataFrame, options: Options = Options(), owners: tuple[str, ...] = (), have_token: bool = False) -> WebCheck:
+    """fetches: href, status, body; links without a fetch count as network errors."""
+    docs = documents.prepared(tree, options)
     got = fetches.select("href", "status", "body").dropDuplicates(["href"]).withColumn("fm", frontmatter.read_uuid(F.coalesce("body", F.lit(""))))
     got = got.select("href", "status", F.col("fm.status").alias("dest_status"), F.col("fm.uuid").alias("dest_uuid"))
-    rows = web_links(docs, options).withColumn("url", parsed_url(F.col("href"))).join(got, "href", "left").withColumn("status", F.coalesce("status", F.lit(-1)))
+    rows = web_links(docs).withColumn("url", parsed_url(F.col("href"))).join(got, "href", "left").withColumn("status", F.coalesce("status", F.lit(-1)))
     owned = F.lower("url.owner").isin(*[x.lower() for x in owners]) if owners else F.lit(False)
     plain, ok = F.col("uuid").isNull(), F.col("status") == 200
     lacking = plain & owned & F.lower("url.path").endswith(".md") & ~F.col("url.ref").rlike(_COMMIT) & ~F.col("filtered")
@@ -93,7 +94,7 @@ def check(docs: DataFrame, fetches: DataFrame, options: Options = Options(), own
     detail = F.concat(F.lit("status "), F.col("status").cast("string"), F.lit(", declares "), F.coalesce("dest_uuid", F.lit("no uuid")))
     found = rows.select("path", "line", "href", "kind", "uuid", "token_would_help", detail.alias("detail"), F.col("s").alias("start"))
     edits = rows.where("kind = 'web_anchor' AND NOT filtered").select("path", "s", "e", tokens.web_anchor(F.col("text"), F.col("href"), F.col("dest_uuid")).alias("r"))
-    return WebCheck(found, edits, docs)
+    return WebCheck(found, edits, tree.docs)
 
 
 def fetch_once(owner: str, repo: str, ref: str, path: str, token: str | None) -> tuple[int, str | None]:
