@@ -1,0 +1,31 @@
+"""Link patterns outside the JVM, for the rare documents whose hrefs nest so deeply that its engine would exhaust the stack."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+
+def scanner(pattern: str, groups: dict[str, int]) -> Callable[[Column], Column]:
+    """As tokens.scanned, row for row; null texts give null."""
+    fields = ["before", "all", *groups]
+    kind = ArrayType(StructType([*(StructField(x, IntegerType()) for x in ("s", "e", "line")), *(StructField(x, StringType()) for x in fields)]))
+
+    def scan(text: str) -> list[dict]:
+        out, last, line = [], 0, 1
+        for m in re.finditer(pattern, text):
+            line += text.count("\n", last, m.start())
+            out.append({"s": m.start(), "e": m.end(), "line": line, "before": text[last : m.start()], "all": m[0]} | {x: m[k] or "" for x, k in groups.items()})
+            line += m[0].count("\n")
+            last = m.end()
+        return out
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else scan(x))
+
+    return pandas_udf(run, kind)

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkgraph.functions.nested import scanner
 from linkgraph.functions.paths import BLANK
 
 # Fixed patterns of the format.  Runs that can't be given back are possessive, so that a long
@@ -115,16 +116,21 @@ def carries_marker(text: Column, marker: str, code: Column) -> Column:
     return F.when(text.contains(marker), F.exists(hits, lambda m: ~inside(m["s"], code))).otherwise(F.lit(False))
 
 
-def robust_links(text: Column, spans: Column) -> Column:
-    """Links with a uuid comment, outside spans; the uuid in lower case."""
-    found = F.filter(scanned(text, ROBUST, text=1, href=2, attrs=3, uuid=4), lambda m: ~inside(m["s"], spans))
-    return F.when(text.contains("]("), found).otherwise(F.filter(found, lambda m: F.lit(False)))
+def links_of(text: Column, hard: Column | None, pattern: str, /, **groups: int) -> Column:
+    """scanned for a pattern of links; hard documents (see too_nested) go through the scanner outside the JVM."""
+    native = scanned(text, pattern, **groups)
+    hard = too_nested(text) if hard is None else hard
+    return F.when(hard, scanner(pattern, groups)(F.when(hard, text))).when(text.contains("]("), native).otherwise(F.filter(native, lambda m: F.lit(False)))
 
 
-def all_links(text: Column) -> Column:
+def robust_links(text: Column, spans: Column, hard: Column | None = None) -> Column:
+    """Links with a uuid comment, outside spans."""
+    return F.filter(links_of(text, hard, ROBUST, text=1, href=2, attrs=3, uuid=4), lambda m: ~inside(m["s"], spans))
+
+
+def all_links(text: Column, hard: Column | None = None) -> Column:
     """Inline links, each with the attributes and uuid comment that follow it, if any."""
-    found = scanned(text, PLAIN, text=1, href=2, attrs=3, tail=4, uuid=5)
-    return F.when(text.contains("]("), found).otherwise(F.filter(found, lambda m: F.lit(False)))
+    return links_of(text, hard, PLAIN, text=1, href=2, attrs=3, tail=4, uuid=5)
 
 
 def plain_links(links: Column, spans: Column) -> Column:
@@ -139,9 +145,9 @@ def detached_anchors(text: Column, links: Column, spans: Column) -> Column:
     return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["line"].alias("line"), F.lower(m["uuid"]).alias("uuid"), F.char_length(F.regexp_extract(m["before"], r"[ \t]*$", 0)).alias("gap")))
 
 
-def web_links(text: Column, spans: Column, prefix: str) -> Column:
-    found = F.filter(scanned(text, WEB % re.escape(prefix), text=1, href=2, tail=3, uuid=4, exempt=5), lambda m: F.lower(m["href"]).rlike(rf"^[{BLANK}]*https?://") & ~inside(m["s"], spans))
-    return F.when(text.contains("]("), found).otherwise(F.filter(found, lambda m: F.lit(False)))
+def web_links(text: Column, spans: Column, prefix: str, hard: Column | None = None) -> Column:
+    found = links_of(text, hard, WEB % re.escape(prefix), text=1, href=2, tail=3, uuid=4, exempt=5)
+    return F.filter(found, lambda m: F.lower(m["href"]).rlike(rf"^[{BLANK}]*https?://") & ~inside(m["s"], spans))
 
 
 def robust_link(text: Column, href: Column, uuid: Column, attrs: Column) -> Column:

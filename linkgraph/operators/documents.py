@@ -84,14 +84,15 @@ def prepared(tree: Tree, options: Options) -> DataFrame:
     docs = docs.withColumn("spans", F.concat(tokens.block_spans(text, options.ignore_blocks), code))
     docs = docs.withColumn("ignored", tokens.carries_marker(text, f"{options.marker_prefix}-ignore-file", code))
     docs = docs.withColumn("link_ignored", ~F.col("ignored") & tokens.carries_marker(text, f"{options.marker_prefix}-ignore-links", code))
-    docs = docs.withColumn("fm", frontmatter.read_uuid(text)).withColumn("links", tokens.all_links(text))
+    docs = docs.withColumn("fm", frontmatter.read_uuid(text)).withColumn("hard", tokens.too_nested(text))
+    docs = docs.withColumn("links", tokens.all_links(text, F.col("hard")))
     own, spans = ~F.col("ignored") & ~F.col("link_ignored"), F.col("spans")
     kept = lambda found: F.when(own, found).otherwise(F.filter(found, lambda m: F.lit(False)))
     return cut(docs.select(
         "path", "ignored", "link_ignored", F.col("fm.status").alias("fm_status"), F.col("fm.uuid").alias("fm_uuid"),
         frontmatter.has_frontmatter(text).alias("has_block"), frontmatter.head_length(text).alias("head"), frontmatter.newline(text).alias("newline"),
-        kept(tokens.robust_links(text, spans)).alias("robust"), kept(tokens.plain_links(F.col("links"), spans)).alias("plain"),
-        kept(tokens.detached_anchors(text, F.col("links"), spans)).alias("strays"), tokens.web_links(text, spans, options.marker_prefix).alias("web"),
+        kept(tokens.robust_links(text, spans, F.col("hard"))).alias("robust"), kept(tokens.plain_links(F.col("links"), spans)).alias("plain"),
+        kept(tokens.detached_anchors(text, F.col("links"), spans)).alias("strays"), tokens.web_links(text, spans, options.marker_prefix, F.col("hard")).alias("web"),
     ))
 
 

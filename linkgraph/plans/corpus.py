@@ -6,6 +6,8 @@ SQL that Spark and other engines read alike.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ ORDER_LINK = f"""CASE k % 16
   WHEN 11 THEN concat('[m](../customer/missing%20', k, '.csv)')
   WHEN 12 THEN concat('[a](/srv/', k, '.md)')
   WHEN 13 THEN concat('[w](https://github.com/own/repo/blob/', CASE WHEN k % 3 = 0 THEN 'main' ELSE 'abcdef0123' END, '/docs/', k, '.md)', CASE WHEN k % 5 = 0 THEN concat(' <!-- web-uuid: ', {named("web", "k")}, ' -->') ELSE '' END)
-  WHEN 14 THEN concat('```', chr(10), {STALE}, chr(10), '```')
+  WHEN 14 THEN concat(chr(10), '```', chr(10), {STALE}, chr(10), '```')
   ELSE concat('`', {STALE}, '` and ``', {STALE}, '``') END"""
 
 ORDERS = f"""SELECT k, c, n, r, concat('orders/', k, '.md') AS path, concat('# Order ', k, chr(10), chr(10), 'see ', {ORDER_LINK}, chr(10)) AS content
@@ -107,8 +109,7 @@ TABLES = ("orders", "customer", "nation", "region", "part", "supplier")
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables of sf_dir."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for name, frame in frames.items():
-        sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"FROM {name})", f"FROM {{{name}}})").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
+    sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
     return spark.sql(sql, **{k: v for k, v in frames.items() if f"{{{k}}}" in sql})
 
 
