@@ -14,7 +14,7 @@ import pyarrow as pa
 U64 = np.uint64
 _SEED = 0x5EED_2024
 #: Bytes that one vectorised pass takes at once; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(_SEED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)

@@ -2,8 +2,9 @@
 
 Under each permutation of the hash values both the smallest and the largest of a set are
 kept, so that every evaluation gives two values of the signature.  Bands of these values put
-documents into buckets; in a bucket every document is compared with one pivot, the smallest
-doc_id, so that a bucket of n documents gives n - 1 pairs.
+documents into buckets; in a bucket every document is compared with one pivot, the one that
+shares its buckets with the most documents, so that a bucket of n documents gives n - 1 pairs
+and the buckets of a group mostly have the same pivot.
 
 That alone would miss x ~ y where x isn't similar to the pivot r.  With S(x) the symmetric
 difference of x and r, |x ^ y| = |S(x) ^ S(y)|, and J(x, y) >= t means
@@ -29,8 +30,8 @@ from linkgraph.llm import _shared, _text
 WORDS = 4
 #: Least similarity, as a fraction: 4 / 5.
 TIMES, OF = 4, 5
-#: Bands and values of a band; each permutation gives two values.  A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 36, 6e-7.
-BANDS, ROWS = 36, 5
+#: Bands and values of a band; each permutation gives two values.  A pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 28, 4e-7.
+BANDS, ROWS = 28, 4
 PERMUTATIONS = BANDS * ROWS // 2
 
 _rng = np.random.default_rng(4_711)
@@ -83,14 +84,13 @@ def _similar(a: int, b: int, shared: int) -> bool:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Of each pair (r, x) with texts: whether they are linked, and the beginning of S(x).
+    """Of each pair (r, x) with texts: whether they are linked, and S(x), where what only r has is inverted.
 
-    In S(x) come first what only x has, then what only r has, each in the order of the hashes.
-    reach_x: how many of them suffice to meet any y if x isn't linked to r; reach_y: how many
-    suffice to be met by an x that isn't linked to r.
+    reach_x: how many elements of S(x), under any common order, suffice to meet any y if x isn't
+    linked to r; reach_y: how many suffice to be met by an x that isn't linked to r.
     """
     for batch in batches:
-        columns: dict[str, list] = {k: [] for k in ("r", "x", "linked", "n", "size", "reach_x", "reach_y", "start")}
+        columns: dict[str, list] = {k: [] for k in ("r", "x", "linked", "n", "size", "reach_x", "reach_y", "tokens")}
         sets: dict[int, np.ndarray] = {}
         for name in ("text_r", "text_x"):
             ids = batch.column(name[-1]).to_numpy()
@@ -109,28 +109,33 @@ def _compare(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             reach = [max(0, min(size, size + 1 - -(-low // (2 * (OF + TIMES))))) for low in (low_x, low_y)]
             if linked:
                 reach[0] = 0
-            start = np.concatenate((own, ~lost))[: max(reach)]
-            for name, value in zip(columns, (r, x, linked, len(b), size, *reach, start.view(np.int64)), strict=True):
+            for name, value in zip(columns, (r, x, linked, len(b), size, *reach, np.concatenate((own, ~lost)).view(np.int64)), strict=True):
                 columns[name].append(value)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[k], kind) for k, kind in (("r", pa.int64()), ("x", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("reach_x", pa.int32()), ("reach_y", pa.int32()), ("start", pa.list_(pa.int64())))], list(columns)
+            [pa.array(columns[k], kind) for k, kind in (("r", pa.int64()), ("x", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("reach_x", pa.int32()), ("reach_y", pa.int32()), ("tokens", pa.list_(pa.int64())))], list(columns)
         )
 
 
-_COMPARED = "r long, x long, linked boolean, n long, size long, reach_x int, reach_y int, start array<long>"
+_COMPARED = "r long, x long, linked boolean, n long, size long, reach_x int, reach_y int, tokens array<long>"
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """pairs (r, x) with both texts brought together."""
     one = texts.select(F.col("id").alias("x"), F.col("text").alias("text_x"))
     other = texts.select(F.col("id").alias("r"), F.col("text").alias("text_r"))
-    return pairs.join(one, "x").join(other, "r").select("r", "x", "text_r", "text_x").mapInArrow(lambda batches: _compare(batches, words), _COMPARED)
+    # Merge joins at every size: neither side has a bound.
+    return pairs.join(one.hint("merge"), "x").join(other.hint("merge"), "r").select("r", "x", "text_r", "text_x").mapInArrow(lambda batches: _compare(batches, words), _COMPARED)
 
 
 def _missed(stars: DataFrame) -> DataFrame:
     """Pairs that aren't linked by their pivot and may be similar, as (r, x) with r < x."""
     open_pivots = stars.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("unlinked")).where("n > 1 AND unlinked > 0").select("r")
-    rows = stars.join(open_pivots, "r")
+    found = stars.join(open_pivots, "r")
+    # The order of the elements: those that fewer documents differ in from the pivot come first.
+    each = found.select("r", "x", F.explode("tokens").alias("token"))
+    often = each.groupBy("r", "token").agg(F.count("*").alias("often"))
+    order = each.join(often, ["r", "token"]).groupBy("r", "x").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("order"))
+    rows = _shared.written(found.drop("tokens").join(order, ["r", "x"]).select("r", "x", "n", "size", "linked", "reach_x", "reach_y", F.slice("order.token", F.lit(1), F.greatest("reach_x", "reach_y")).alias("start")), "orders")
 
     def part(length: str, of: DataFrame, mark: str) -> DataFrame:
         return of.select("r", *(F.col(k).alias(f"{k}{mark}") for k in ("x", "n", "size", "linked")), F.posexplode(F.slice("start", F.lit(1), F.col(length))).alias(f"at{mark}", "token"))
@@ -183,14 +188,18 @@ def find(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
     named = signed.where("n > 0 AND id IS NOT NULL")
     classes = named.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
     # Copies of a set go with its smallest id.
-    nodes = named.join(classes, "content", "left").select("id", F.coalesce("first", "id").alias("node"), "bands")
+    nodes = named.join(classes.hint("merge"), "content", "left").select("id", F.coalesce("first", "id").alias("node"), "bands")
     keys = nodes.where("id = node").select("node", F.explode("bands").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("node").alias("r"), F.max("node").alias("most")).where("r < most").select("key", "r")
-    pairs = _shared.written(keys.join(pivots, "key").where("node <> r").select("r", F.col("node").alias("x")).distinct(), "pairs")
+    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = _shared.written(keys.join(full, "key"), "members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivots = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best"))
+    pivots = pivots.select("key", (-F.col("best.minus")).alias("r"))
+    pairs = _shared.written(members.join(pivots, "key").where("node <> r").select("r", F.col("node").alias("x")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("r", "x")).alias("id")).distinct()
-    texts = _shared.written(source.join(ids, "id", "left_semi"), "texts")
+    texts = _shared.written(_shared.narrowed(source, ids, "id").join(ids.hint("merge"), "id", "left_semi"), "texts")
     stars = _shared.written(_compared(pairs, texts, words), "stars")
-    more = _compared(_missed(stars), texts, words)
+    more = _compared(_shared.written(_missed(stars), "pairs"), texts, words)
     edges = stars.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")).unionByName(more.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")))
     # An id with several texts ties their classes together.
     tied = nodes.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
