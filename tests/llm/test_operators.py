@@ -1,0 +1,281 @@
+"""The operators on small tables with nulls, empty, long, repeated and tied rows, against SQL or plain code."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import random
+import re
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from linkgraph.llm import bpe, contamination, near_duplicates, personal, quality, queries, repeats, secrets, token_files, topk, urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, extra=False):
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], DOCS)
+    return df.withColumns({c: F.lit("clash") for c in ("id", "key", "n", "h", "spans", "base", "row", "content", "x", "r")}) if extra else df
+
+
+def oracle(name, **tables):
+    con = duckdb.connect()
+    for table, df in tables.items():
+        con.register(table, df)
+    return con.sql(queries.ORACLE_SQL[name]).df()
+
+
+def same(got, want):
+    columns = sorted(want.columns)
+    plain = lambda df: sorted(repr([None if v is None or v != v else v.item() if isinstance(v, np.generic) else v for v in row]) for row in df[columns].astype(object).values.tolist())
+    assert sorted(got.columns) == columns and plain(got) == plain(want)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+def near(text, seed, edits):
+    rng, words = random.Random(seed), text.split(" ")
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = rng.choice(["foo", "bar", "baz", "the"])
+    return " ".join(words)
+
+
+def corpus():
+    base = prose(1, 150)
+    many = [near(base, s, s % 9) for s in range(60)]
+    other = prose(2, 400)
+    return [None, "", " \n\t ", "one", "ONE", "one two three", "a b c d", "A b\tc  d", base, base, base.upper(), *many, other, other + " " + base, prose(3, 60) + " " + other[: len(other) // 2], prose(4, 3000), "a " * 300, "a " * 280 + "b", "x" * 30_000, *[prose(7, 70)] * 20, "é ß é ß"]
+
+
+def test_near_duplicates(spark):
+    texts = corpus()
+    docs = documents(spark, texts)
+    same(near_duplicates.find(docs.withColumn("id", F.lit(1)).withColumn("n", F.lit(2))).toPandas(), oracle("op1_near_duplicates", documents=docs.select("doc_id", "text").toPandas()))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (3, "a b c d e"), (7, "x y"), (7, "p q r s t u"), (9, "p q r s t u"), (8, "x y")]
+    got = near_duplicates.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in got if x.doc_id is not None) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False)]
+    assert near_duplicates.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    kept = near_duplicates.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sorted((x.doc_id, x.text) for x in kept if x.doc_id in (3, 5)) == [(3, "a b c d e")]
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
+    assert {(x.id, x.component) for x in near_duplicates.components(edges).collect()} == {(i, 0) for i in range(1, 201)} | {(500, 400)}
+
+
+def test_repeats(spark):
+    texts = corpus() + [prose(4, 3000)[200:9000] + " tail", prose(9, 49), prose(9, 49), prose(9, 50), prose(9, 50)]
+    texts += [prose(1, 150).replace(" ", "\n"), prose(2, 400) + " " + prose(4, 3000)]
+    docs = documents(spark, texts)
+    same(repeats.find(docs).drop("spans").toPandas(), oracle("op5_repeats", documents=docs.select("doc_id", "text").toPandas()))
+    assert repeats.find(docs.limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, prose(5, 80)), (1, prose(5, 80)), (None, prose(5, 80)), (2, prose(5, 80))], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.n_removed) for x in repeats.find(rows).collect()) == [(0, 0), (1, 0), (1, 0), (2, 80)]
+
+
+def test_contamination(spark, monkeypatch):
+    items = [prose(20, 30), prose(21, 12), "Only Four words here", "x", None, "", prose(20, 30), "a a a a a a a a a a a a"]
+    inside = [f"{prose(30, 40)} {items[0]} {prose(31, 5)}", items[0].upper().replace(" ", "--"), " ".join(items[1].split()[1:11]), " ".join(items[1].split()[1:10]), "so only four words, here!", "a " * 40, "x", None, "", prose(33, 2000) + " " + items[1]]
+    docs, bench = documents(spark, inside), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = oracle("op9_contamination", documents=docs.select("doc_id", "text").toPandas(), benchmark=bench.toPandas())
+    same(contamination.digest(contamination.scan(docs, bench)).toPandas(), want)
+    monkeypatch.setattr(contamination, "BROADCAST_CHARS", 120)  # several passes
+    same(contamination.digest(contamination.scan(docs, bench)).toPandas(), want)
+    clean = {x.doc_id for x in contamination.clean_documents(docs, bench).collect()}
+    assert clean == set(want[~want["contaminated"]]["doc_id"])
+    assert contamination.digest(contamination.scan(docs, bench.limit(0))).where("contaminated").count() == 0
+
+
+def test_url_rules(spark):
+    hosts = ["com", "a.example.com", "EXAMPLE.com", "xexample.com", "example.net", "b.c.net", "org", "e.org", "", "com.", "user@example.com:80"]
+    tails = ["/en/7", "/en/71?x", "/en/6", "/de/8#f", "/de/9", "/es/", "/es", "", "?q=/en/", "#/en/", "/EN/7"]
+    rows = [(i, f"http://{h}{t}") for i, (h, t) in enumerate((h, t) for h in hosts for t in tails)] + [(900, None), (901, ""), (902, "no scheme/en/"), (903, "a://b://com/en/"), (904, "http://com/en/\nx"), (905, "http://" + "a." * 3000 + "com/en/" + "x" * 5000), (905, "http://com/en/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    same(urls.judge(pages, urls.rule_table(spark, queries.URL_RULES)).toPandas(), oracle("op4_url_rules", pages=pages.toPandas()))
+    rules = urls.rule_table(spark, [("block", "com/"), ("allow", "com/"), ("block", "x.com/a")])
+    assert [x.verdict for x in urls.judge(spark.createDataFrame([(1, "http://com/b"), (2, "http://y.x.com/ab")], "page_id long, url string"), rules).orderBy("page_id").collect()] == ["block", "block"]
+    assert urls.judge(pages.limit(3), rules.limit(0)).where("rule IS NULL AND verdict = 'allow'").count() == 3
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(v) for v in rng.normal(0, 0.1, 8)]) for i in range(400)] + [(400, None), (450, []), (500, [1.0, None] + [0.0] * 6), (550, [float("nan")] + [0.0] * 7), (600, [float("inf")] * 8), (650, [0.0] * 8), (700, [0.25, -0.25] + [0.0] * 6), (701, [0.25, -0.25] + [0.0] * 6), (750, [1.0, 2.0]), (None, [0.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).toPandas()
+    want = []
+    usable = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    for i, q in usable:
+        if i % 50 == 0:
+            best = sorted((-int(q @ v), j) for j, v in usable if j != i and len(v) == len(q))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == sorted(want)
+    lists = topk.Lists(np.arange(4000), np.eye(2, dtype=int).repeat(2000, axis=0) * np.arange(4000)[:, None])
+    assert lists.top(np.array([1, 0]), -1, 3)[0].tolist() == [1999, 1998, 1997] and lists.read < 400
+
+
+def test_secrets(spark):
+    rng, pieces = random.Random(4), ["token", "PassWord", "api_key", "=", ":", " ", "'", '"', "abcd1234", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJKL12", "é", "😀", "x", "\n", ".-", "Zq8+" * 7, "550e8400-e29b-41d4-a716-446655440000", "secret", "1" * 25]
+    texts = [None, "", "AKIA" * 10, "a" * 50_000, *["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(1500)]]
+
+    def plain(text):
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+    def dense(text):
+        out = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+            if not re.search("[0-9]", m[0]) or any(re.search(a, m[0]) for a in secrets.ALLOWED):
+                continue
+            hexadecimal = re.fullmatch("[0-9a-f]+|[0-9A-F]+", m[0])
+            least = secrets.CLASSES[0][2] if hexadecimal else secrets.CLASSES[1][2]
+            word = m[0].lower() if hexadecimal else m[0]
+            most = int(np.floor((np.log2(20) - least) * 20 * secrets.UNIT))
+            hits = [i for i in range(len(word) - 19) if sum(secrets.TERMS[word[i : i + 20].count(c)] for c in set(word[i : i + 20])) <= most]
+            if hits:
+                out.append((m.start() + hits[0], 3, m.start() + hits[-1] + 20))
+        return out
+
+    docs = documents(spark, texts, extra=True)
+    for row in secrets.scan(docs).collect():
+        text = texts[row.doc_id] or ""
+        base = plain(text)
+        more = [x for x in dense(text) if not any(s < x[2] and x[0] < e for s, _, e in base)]
+        assert [tuple(x) for x in row.base] == base, repr(text)
+        assert [tuple(x) for x in row.spans] == sorted(base + more), repr(text)
+    row = secrets.redacted_documents(documents(spark, ["é token=abcd1234 x"], extra=True)).first()
+    assert row.text == "é [SECRET] x" and row.n_chars == len(row.text) and row.spans == "clash"
+    assert secrets.digest(secrets.scan(docs.limit(0))).count() == 0
+
+
+def test_personal_data(spark):
+    texts = [None, "", "write to a.b@mail.example.com or +1 (766) 555-9970, 10.0.0.1 and 4202 9658 2782 4311", "call (766) 555-9970 now", "version 1.2.3 of 2024-01-12, 300.1.1.1"] + ["1" * 40_000, "@" * 1000]
+    found = {x.doc_id: x for x in personal.scan(documents(spark, texts, extra=True)).collect()}
+    assert found[0].spans == found[1].spans == "" and found[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (found[2].n_email, found[2].n_phone, found[2].n_ip) == (1, 1, 1) and "[EMAIL]" in found[2].redacted
+    assert found[3].spans == "phone:5:19" and found[3].n_phone == 0 and found[4].spans == ""
+    tagger = personal.trained()
+    ids, gold = personal.windows_of(personal.labelled(400, 99), tagger.tags)
+    assert (tagger.decode(ids) == gold).mean() > 0.97
+
+
+def test_personal_patterns():
+    rng = random.Random(5)
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for _ in range(20_000):
+        text = "".join(rng.choice(rng.choice(["0123456789", "1.", "a@b.-_ ", "+1 ()-.", "4 12-"])) for _ in range(rng.randint(0, 60)))
+        want = []
+        for kind, pattern in kinds.items():
+            for m in re.finditer(pattern, text):
+                digits = re.sub("[^0-9]", "", m[0])
+                good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and personal.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+                want += [(m.start(), m.end(), kind)] * good
+        assert personal.base_spans(text) == sorted(want, key=lambda x: (x[0], personal.KINDS.index(x[2]))), text
+
+
+def test_quality(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    classifier = quality.train(docs, labels)
+    got = quality.classify(docs, classifier).join(labels, "doc_id").toPandas()
+    clean = got[(got.quality == 1) & (got.toxic == 0)]
+    assert clean.kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.2 and got[(got.quality == 1) & (got.toxic == 1)].kept.mean() < 0.4
+    odd = documents(spark, [None, "", "   ", "x"], extra=True)
+    assert {x.doc_id for x in quality.classify(odd, classifier).where("kept").collect()} >= {0, 1, 2} and quality.kept_documents(odd, classifier).columns == odd.columns
+    assert quality.classify(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_bpe_is_what_the_library_gives(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tree, rng = bpe.TreeBpe(ranks, public_tokenizers.PATTERN, leaf_chars=16, leaf_bytes=8), random.Random(3)
+    texts = ["", "ab" * 20_000, " " * 3000, "😀" * 500]
+    texts += ["".join(rng.choice(rng.choice(["ab", "aeiou thn'", "a \n\t'sretvmlld1.é  ", "😀é漢   x1", "  \n", "'re 've"])) for _ in range(rng.randint(0, 300))) for _ in range(600)]
+    for text in texts:
+        ids = tree.encode(text)
+        assert ids == library.encode_ordinary(text) and tree.decode(ids) == text.encode(), repr(text)
+    rows = bpe.digest_documents(documents(spark, [None, *texts[:50]], extra=True), path, public_tokenizers.PATTERN).collect()
+    for row in rows:
+        text = ([None, *texts][row.doc_id]) or ""
+        ids = library.encode_ordinary(text)
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_token_files(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(6)
+    library.encode_special_tokens = True
+    texts = [None, "", "<|endoftext|>", "a  b", "x" * 5000, *["".join(rng.choice(rng.choice(["ab ", "\n a", "a'sre ve", "\t\x1f\xa0 x", "é漢😀 ", "12 .,"])) for _ in range(rng.randint(0, 60))) for _ in range(500)]]
+    docs = documents(spark, texts, extra=True)
+    shards, key = token_files.write(docs, path, end_id=2)
+    start = 0
+    for row in sorted(token_files.read(shards, key).collect(), key=lambda x: x.doc_id):
+        ids = np.array([*library.encode(texts[row.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), __import__("zlib").crc32(ids.tobytes()))
+        start += len(ids)
+    shards, key = token_files.write(docs.limit(0), path, end_id=2)
+    assert token_files.read(shards, key).count() == 0
+
+
+def test_token_file_reads_only_what_is_asked_for():
+    import pyarrow as pa
+
+    out = io.BytesIO()
+    writer = token_files.Writer(out, 2, pa.int64())
+    for k in range(50):
+        writer.add(k, np.arange(30_000, dtype="<u2").tobytes())
+    writer.finish()
+    reader = token_files.Reader(io.BytesIO(out.getvalue()))
+    assert len(reader.frames) > 10 and [x.key for x in reader.find([7])] == [7] and reader.read == 1
+    damaged = bytearray(out.getvalue())
+    damaged[100] ^= 1
+    with pytest.raises(token_files.ChecksumError):
+        list(token_files.Reader(io.BytesIO(bytes(damaged))).documents())
+
+
+def test_pipeline_against_plain_code(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = now.toPandas()
+        now = stage(spark, now, folder)
+        assert now.columns == docs.columns
+        after = now.toPandas()
+        assert set(after.doc_id) <= set(before.doc_id)
+        if name == "near_duplicates":
+            sets = {}
+            for x in before.itertuples():
+                words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in x.text))
+                sets[x.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+            least = {k: k for k in sets}
+            for _ in range(5):
+                for a in sets:
+                    for b in sets:
+                        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                            least[a] = least[b] = min(least[a], least[b])
+            assert set(after.doc_id) == {k for k, v in least.items() if k == v}
+        if name == "secrets":
+            assert set(after.doc_id) == set(before.doc_id) and not after.text.str.contains("AKIA[A-Z0-9]{12}", regex=True).any()
+        now = spark.createDataFrame(pd.DataFrame(after), docs.schema)
+    assert {x.doc_id for x in corpus_pipeline.run(spark, folder).collect()} == {x.doc_id for x in now.collect()}
