@@ -31,9 +31,9 @@ class Check:
         return self.findings.agg(broken.alias("broken"), loose.alias("loose")).withColumn("code", F.when(F.col("broken") > 0, 2).when(F.col("loose") > 0, 3).otherwise(0))
 
     def report(self) -> DataFrame:
-        """One row (axis, findings as JSON) for each axis, in the order of path, start and kind."""
-        row = F.struct("path", "start", "kind", "line", "href", "detail")
-        return self.findings.groupBy("axis").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("findings"))
+        """axis, finding: each finding as JSON, in the order of axis, path, start and kind."""
+        row = F.to_json(F.struct("path", "start", "kind", "line", "href", "detail"))
+        return self.findings.orderBy("axis", "path", "start", "kind").select("axis", row.alias("finding"))
 
 
 def check(tree: Tree, options: Options = Options(), scope: DataFrame | None = None) -> Check:

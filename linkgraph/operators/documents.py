@@ -96,14 +96,18 @@ def prepared(tree: Tree, options: Options) -> DataFrame:
     ))
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.where("NOT ignored AND fm_status = 'valid' AND fm_uuid IS NOT NULL").select(F.col("fm_uuid").alias("uuid"), "path")
+
+
 def uuid_index(docs: DataFrame) -> DataFrame:
-    """uuid, n, path (the first), paths; n > 1 means that the uuid is ambiguous.  """
-    own = docs.where("NOT ignored AND fm_status = 'valid' AND fm_uuid IS NOT NULL")
-    return own.groupBy(F.col("fm_uuid").alias("uuid")).agg(F.count("*").alias("n"), F.min("path").alias("path"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """uuid, n, path (the first); n > 1 means that the uuid is ambiguous."""
+    return _identified(docs).groupBy("uuid").agg(F.count("*").alias("n"), F.min("path").alias("path"))
 
 
 def duplicate_uuids(docs: DataFrame) -> DataFrame:
-    return uuid_index(docs).where("n > 1")
+    """uuid, path of every document that shares its uuid, a row each: a group may be of any size."""
+    return _identified(docs).join(uuid_index(docs).where("n > 1").select("uuid"), "uuid", "left_semi")
 
 
 def invalid_documents(docs: DataFrame) -> DataFrame:

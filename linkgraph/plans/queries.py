@@ -55,9 +55,9 @@ def uuid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.uuid_index(_docs(spark, sf_dir)).select("uuid", "n", "path")
 
 
-@query("duplicate_uuids", f"SELECT * FROM ({_UUIDS}) WHERE n > 1")
+@query("duplicate_uuids", f"SELECT {named('suppliers', '(k - st)')} AS uuid, path FROM s WHERE st IN (5, 6)")
 def duplicate_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.duplicate_uuids(_docs(spark, sf_dir)).select("uuid", "n", "path")
+    return documents.duplicate_uuids(_docs(spark, sf_dir))
 
 
 _OUT = {"ignored_files": ("ignored", "s WHERE st = 3"), "link_ignored": ("link_ignored", "p WHERE st = 0"), "invalid_frontmatter": ("NOT ignored AND fm_status = 'invalid'", "s WHERE st = 1")}
