@@ -248,7 +248,7 @@ def learned_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     total = labels.count()
     chosen = (labels.sample(limit / total, seed) if total > limit else labels).select(labels[id_col].alias("key"), labels[label_col].alias("label")).dropna().limit(2 * limit)
-    rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).join(F.broadcast(chosen), "key").select(F.col("label").cast("int").alias("label"), "text").limit(4 * limit)
+    rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).join(F.broadcast(chosen), "key").select(F.col("label").cast("int").alias("label"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint32)
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     scorers = {task: Scorer() for task in LABELLERS}
     if total:
         chosen = texts.sample(sample / total, seed) if total > sample else texts
-        rows = chosen.limit(2 * sample).mapInArrow(lambda batches: _featurise(batches, learned), "junk string, abuse string, features array<long>").toArrow()
+        rows = chosen.mapInArrow(lambda batches: _featurise(batches, learned), "junk string, abuse string, features array<long>").toArrow()
         features = [x.values.to_numpy().astype(np.uint32) for x in rows["features"]]
         for task, model in models.items():
             scorers[task].fit(features, np.array([model.posterior(x) for x in rows[task].to_pylist()]))
