@@ -13,7 +13,10 @@ def by_mode(findings: DataFrame, mode: str, created: DataFrame | None = None) ->
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     kept = findings.where(F.col("axis").isin(*MODES[mode]))
-    return kept.unionByName(created.where("axis = 'strict'")).distinct() if mode == "max" and created is not None else kept
+    if mode != "max" or created is None:
+        return kept
+    # The same link twice in a document is two findings, so rows are set against each other one by one.
+    return kept.unionByName(created.where("axis = 'strict'").exceptAll(findings.where("axis = 'strict'")))
 
 
 def staged(findings: DataFrame, files: DataFrame) -> DataFrame:

@@ -156,3 +156,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "s.md").read_text() == f"[b](B.md){a(U)}"
     assert main(["check", str(tmp_path)], spark) == 0 and main(["check", str(tmp_path), "--write"], spark) == 1
     assert main([str(tmp_path), "--only", "none.md"], spark) == 1
+
+
+def test_modes_keep_repeated_findings(spark):
+    tree = tree_of(spark, {"no.md": "# no", "B.md": DOC, "s.md": "[n](no.md) [n](no.md) [b](B.md) [b](B.md)"})
+    one, two = robustify.plan(tree).findings, robustify.plan(tree, Options(create_frontmatter=True)).findings
+    assert sorted(x.kind for x in gate.by_mode(one, "max", two).collect()) == ["no_frontmatter"] * 2 + ["robustify"] * 4
+
+
+def test_streaming_gate(spark, tmp_path):
+    from linkgraph.streaming.gate import gated
+
+    base = {"B.md": DOC, "s.md": "[b](B.md)"}
+    spark.createDataFrame([("s.md", "[m](gone.md)")], "path string, content string").write.parquet(str(tmp_path / "in"))
+    changes = spark.readStream.schema("path string, content string").parquet(str(tmp_path / "in"))
+    taken = []
+    query = gated(changes, lambda: tree_of(spark, base), lambda found, n: taken.append(kinds(found.findings))).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert taken == [[("s.md", "dangling", "gone.md")]]
