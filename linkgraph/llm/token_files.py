@@ -15,7 +15,6 @@ frames of the documents asked for.  Checksums are the low 32 bits of XXH64.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from linkgraph.llm import _files, _shared
+from linkgraph.llm import _files, _shared, _text
 
 #: Magic numbers of the public formats.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -39,9 +38,9 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 17
 LEVEL = 3
 #: Words whose ids one worker remembers in each of two generations; new words that go through the library as one text.
-REMEMBERED, TOGETHER = 400_000, 500
-#: Characters of a word that is remembered.
-LONGEST = 200
+REMEMBERED, TOGETHER = 1_000_000, 500
+#: Bytes of a word that is remembered.
+LONGEST = 500
 
 
 class ChecksumError(ValueError):
@@ -162,31 +161,73 @@ class Reader:
 
 
 class Remembered:
-    """Ids by string; what is not met again within a generation is forgotten."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+    """Ids of words by 96 bits of hash: an open-addressing table over arrays, and a pool of ids."""
+
+    def __init__(self, dtype: np.dtype, capacity: int) -> None:
+        self.capacity, self.slots = capacity, 1 << (2 * capacity - 1).bit_length()
+        self.keys, self.checks = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint32)
+        self.entry = np.zeros(self.slots, np.int32)
+        self.starts, self.counts = np.zeros(capacity, np.int64), np.zeros(capacity, np.int64)
+        self.pool = np.zeros(1 << 20, dtype)
+        self.n = self.used = 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The entry of each key; -1 where it isn't known."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, open_rows = (keys & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(keys))
+        while len(open_rows):
+            at = slot[open_rows]
+            there = self.keys[at]
+            hit = (there == keys[open_rows]) & (self.checks[at] == checks[open_rows])
+            out[open_rows[hit]] = self.entry[at[hit]]
+            open_rows = open_rows[~hit & (there != 0)]
+            slot[open_rows] = (slot[open_rows] + 1) & (self.slots - 1)
+        return out
 
-    def missing(self, wanted: set[str]) -> list[str]:
-        """What is not remembered of wanted; the rest is now in young."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {"": b""}, self.young
-        young, old = self.young, self.old
-        new = wanted.difference(young)
-        back = [x for x in new if x in old] if old else []
-        young.update(zip(back, map(old.__getitem__, back), strict=True))
-        return list(new.difference(back))
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Entries of new keys, all different, with their ids one after another."""
+        entries = np.arange(self.n, self.n + len(keys))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), self.pool.dtype)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[entries], self.counts[entries] = self.used + np.cumsum(counts) - counts, counts
+        slot, open_rows = (keys & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(keys))
+        while len(open_rows):
+            at = slot[open_rows]
+            free = self.keys[at] == 0
+            first = np.zeros(len(at), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.keys[at[put]], self.checks[at[put]], self.entry[at[put]] = keys[open_rows[put]], checks[open_rows[put]], entries[open_rows[put]]
+            open_rows = open_rows[~put]
+            slot[open_rows] = np.where(self.keys[slot[open_rows]] == 0, slot[open_rows], (slot[open_rows] + 1) & (self.slots - 1))
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
+        return entries
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after another, and how many each has."""
+        counts = self.counts[entries]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[entries] - ends + counts, counts) + np.arange(total)], counts
+
+
+#: Bytes that are blanks for a splitting pattern, or may be; first bytes of characters that may be.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_MAY_LEAD = np.zeros(256, bool)
+_MAY_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, as bytes.
+    """Ids of whole texts by the tokenizers library.
 
     A byte-level tokenizer without a normaliser encodes each match of its splitting pattern by
     itself.  A space or line feed between two characters that are no blanks always begins such
     a match, and that line feed is a match of its own.  So texts are cut there into words, and
     each distinct word goes through the library once, together with others, and is remembered.
-    For any other tokenizer pass byte_level=False, and whole texts go through the library.
+    Texts with two blanks in a row, blanks beyond ASCII or very long words go through the
+    library whole, and so do all texts of any other tokenizer (byte_level=False).
     """
 
     def __init__(self, path: str, byte_level: bool = True) -> None:
@@ -195,26 +236,24 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
+        self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        self.width = self.dtype.itemsize
         if byte_level and (self.library.normalizer is not None or "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer)):
             raise ValueError("not a byte-level tokenizer: pass byte_level=False")
         self.byte_level = byte_level
         #: Bytes of each token; a byte-level vocabulary writes each byte as one character.
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
-        self.words = Remembered()
+        self.young, self.old = Remembered(self.dtype, REMEMBERED), Remembered(self.dtype, 1)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, f"<u{self.width}").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, self.dtype) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str] | None:
-        """None for a text that can't be cut this way."""
-        if "\x1f" in text or _BLANKS.search(text):
-            return None
-        return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and how many each has.
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word's ids.  Words are joined where they still begin and end matches, then told apart by their bytes."""
+        Words are joined where they still begin and end matches, then told apart by their bytes.
+        """
         alone, joined, parts = [], [], []
         for k, w in enumerate(words):
             if w[-1].isspace() or w[0].isspace() and w[0] != " ":
@@ -222,35 +261,88 @@ class PieceEncoder:
             else:
                 joined.append(k)
                 parts.append(w if w[0] == " " else "\n" + w)
-        out: list[bytes] = [b""] * len(words)
-        for k, ids in zip(alone, self._encode([words[k] for k in alone]), strict=True):
-            out[k] = ids
         texts = ["".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
         ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.ids, np.int64) for x in self.library.encode_batch_fast(texts, add_special_tokens=False))])
         ends, wanted = np.cumsum(self.size[ids]), np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in parts])
         stop = np.searchsorted(ends, wanted) + 1
         if len(wanted) and not np.array_equal(ends[stop - 1], wanted):
             raise ValueError("a token crosses words: not a byte-level tokenizer")
-        raw, stop = ids.astype(f"<u{self.width}").tobytes(), [0, *(stop * self.width).tolist()]
-        for k, first, last in zip(joined, stop[:-1], stop[1:], strict=True):
-            out[k] = raw[first if words[k][0] == " " else first + self.width : last]
-        return out
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        start = np.concatenate(([0], stop[:-1])).astype(np.int64)[: len(stop)]
+        start = start + np.array([x[0] == "\n" for x in parts], np.int64)
+        single = self._whole([words[k] for k in alone])
+        flat = np.concatenate([ids.astype(self.dtype), *single])
+        begin, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[joined], counts[joined] = start, stop - start
+        counts[alone] = [len(x) for x in single]
+        begin[alone] = len(ids) + np.cumsum(counts[alone]) - counts[alone]
+        total = np.cumsum(counts)
+        return flat[np.repeat(begin - total + counts, counts) + np.arange(int(total[-1]) if len(total) else 0)], counts
+
+    def _entries(self, part: _text.Slice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each word in young; new words are encoded."""
+        bytes_ = _text._BYTE[part.data]
+        keys = _text.run_hash(bytes_, starts, ends) | np.uint64(1)
+        checks = (_text.run_hash(bytes_, starts, ends, *_OTHER) >> np.uint64(32)).astype(np.uint32)
+        entries = self.young.find(keys, checks)
+        rows = np.flatnonzero(entries < 0)
+        if not len(rows):
+            return entries
+        _, first, back = np.unique(keys[rows], return_index=True, return_inverse=True)
+        if not np.array_equal(checks[rows], checks[rows[first]][back]):  # different words of one key
+            both = np.empty(len(rows), [("k", np.uint64), ("c", np.uint32)])
+            both["k"], both["c"] = keys[rows], checks[rows]
+            _, first, back = np.unique(both, return_index=True, return_inverse=True)
+        if self.young.n + len(first) > self.young.capacity:  # what is not met again within a generation is forgotten
+            self.young, self.old = Remembered(self.dtype, max(REMEMBERED, len(first))), self.young
+            return self._entries(part, starts, ends)
+        fresh = rows[first]
+        was = self.old.find(keys[fresh], checks[fresh])
+        raw = part.data
+        new = np.flatnonzero(was < 0)
+        words = [raw[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[fresh[new]].tolist(), ends[fresh[new]].tolist(), strict=True)]
+        found = np.zeros(len(fresh), np.int64)
+        for which, (ids, counts) in ((new, self._encode_words(words)), (np.flatnonzero(was >= 0), self.old.ids(was[was >= 0]))):
+            found[which] = self.young.add(keys[fresh[which]], checks[fresh[which]], ids, counts)
+        entries[rows] = found[back.ravel()]
+        return entries
+
+    def encode(self, texts: pa.Array, end: bytes) -> Iterator[bytes]:
+        """The ids of each text, then end."""
         if not self.byte_level:
-            return [x + end for x in self._encode(texts)]
-        cut = [self._cut(x) for x in texts]
-        whole = iter(self._encode([t for t, x in zip(texts, cut, strict=True) if x is None]))
-        wanted = set().union(*(x for x in cut if x is not None))
-        long = {w: ids for w, ids in [(w, self._encode([w])[0]) for w in wanted if len(w) > LONGEST]}
-        new = self.words.missing(wanted.difference(long))
-        self.words.young.update(zip(new, self._encode_words(new), strict=True))
-        word = self.words.young.__getitem__ if not long else (self.words.young | long).__getitem__
-        return [(next(whole) if x is None else b"".join(map(word, x))) + end for x in cut]
-
-
-#: Two blanks in a row, of any kind that a splitting pattern can know; such a text isn't cut.
-_BLANKS = re.compile(r"\s\s")
+            yield from (x.tobytes() + end for text in texts for x in self._whole([text.as_py() or ""]))
+            return
+        for part in _text.slices(texts):
+            data, edges = part.data, part.offsets
+            blank = _BLANK[data]
+            odd = np.flatnonzero(blank[1:] & blank[:-1])  # two in a row
+            lead = np.flatnonzero(_MAY_LEAD[data])
+            lead = lead[lead + 1 < len(data)]
+            a, b = data[lead], data[lead + 1]
+            odd = np.concatenate((odd, lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80)], np.flatnonzero(data == 31)))
+            begins = np.zeros(len(data) + 1, bool)
+            feed = data == 10
+            begins[:-1] = (data == 32) | feed
+            begins[1:] |= feed
+            begins[edges] = True
+            starts = np.flatnonzero(begins[:-1])
+            ends = np.append(starts[1:], len(data))
+            odd = np.concatenate((odd, starts[ends - starts > LONGEST]))
+            whole = np.zeros(len(part), bool)
+            whole[np.searchsorted(edges, odd, "right") - 1] = True
+            first = np.searchsorted(starts, edges)
+            kept = ~np.repeat(whole, np.diff(first))
+            entries = self._entries(part, starts[kept], ends[kept])
+            ids, counts = self.young.ids(entries)
+            per_word = np.zeros(len(starts), np.int64)
+            per_word[kept] = counts
+            stop = (np.concatenate(([0], np.cumsum(per_word)))[first] * self.width).tolist()
+            flat = ids.astype(self.dtype).tobytes()
+            rest = iter(self._whole([data[edges[d] : edges[d + 1]].tobytes().decode("utf-8", "surrogatepass") for d in np.flatnonzero(whole)]))
+            for d in range(len(part)):
+                yield (next(rest).tobytes() if whole[d] else flat[stop[d] : stop[d + 1]]) + end
+
+
+_OTHER = _text.bases(2_026)
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -260,18 +352,6 @@ def _encoder(path: str, byte_level: bool) -> PieceEncoder:
     return _encoders[path, byte_level]
 
 
-def _chunks(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[tuple[list[object], list[str]]]:
-    keys, texts, held = [], [], 0
-    for key, text in zip(batch.column(0), batch.column(1), strict=True):
-        keys.append(key.as_py())
-        texts.append(text.as_py() or "")
-        held += len(texts[-1])
-        if held > limit:
-            yield keys, texts
-            keys, texts, held = [], [], 0
-    yield keys, texts
-
-
 SHARDS = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -289,7 +369,7 @@ def write(docs: DataFrame, path: str, end_id: int, byte_level: bool = True, fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, context = _encoder(path, byte_level), TaskContext.get()
-        end = np.asarray([end_id], f"<u{encoder.width}").tobytes()
+        end = np.asarray([end_id], encoder.dtype).tobytes()
         batch = next(batches, None)
         while batch is not None and not len(batch):
             batch = next(batches, None)
@@ -299,9 +379,8 @@ def write(docs: DataFrame, path: str, end_id: int, byte_level: bool = True, fold
         with _files.writing(uri) as out:
             writer = Writer(out, encoder.width, batch.schema.field(0).type)
             while batch is not None:
-                for keys, texts in _chunks(batch):
-                    for key, ids in zip(keys, encoder.encode(texts, end), strict=True):
-                        writer.add(key, ids)
+                for key, ids in zip(batch.column(0), encoder.encode(batch.column(1), end), strict=True):
+                    writer.add(key.as_py(), ids)
                 batch = next(batches, None)
             writer.finish()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "path": [uri], "n_docs": [len(writer.keys)], "n_ids": [sum(writer.counts)]})
