@@ -187,9 +187,9 @@ def find(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
     signed = _shared.written(source.mapInArrow(lambda batches: _sign(batches, words), "id long, n long, content binary, bands array<long>"), "signatures")
     named = signed.where("n > 0 AND id IS NOT NULL")
     classes = named.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
-    # Copies of a set go with its smallest id.
-    nodes = named.join(classes.hint("merge"), "content", "left").select("id", F.coalesce("first", "id").alias("node"), "bands")
-    keys = nodes.where("id = node").select("node", F.explode("bands").alias("key"))
+    # Of copies of a set, the one with the smallest id goes on; a set of any number of copies is one row of each task.
+    heads = named.groupBy("content").agg(F.min(F.struct("id", "bands")).alias("h"))
+    keys = heads.select(F.col("h.id").alias("node"), F.explode("h.bands").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = _shared.written(keys.join(full, "key"), "members")
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -202,9 +202,9 @@ def find(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
     more = _compared(_shared.written(_missed(stars), "pairs"), texts, words)
     edges = stars.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")).unionByName(more.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")))
     # An id with several texts ties their classes together.
-    tied = nodes.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     repeated = named.groupBy("id").agg(F.min("content").alias("c"), F.max("content").alias("d")).where("c <> d").select("id")
-    edges = edges.unionByName(tied.join(repeated, F.col("a") == F.col("id"), "left_semi"))
+    tied = named.join(repeated, "id", "left_semi").select("id", "content").distinct().join(classes, "content").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    edges = edges.unionByName(tied)
     found = components(edges)
     owned = signed.select("id", "n", "content").join(classes, "content", "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce(F.least("first", "id"), "id")).otherwise(F.col("id")))
     joined = owned.join(found.withColumnRenamed("id", "node"), "node", "left")

@@ -54,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """By start, then as KINDS lists them."""
     out = list(_emails(text))
     for m in _IP.finditer(text):
-        if all(len(x) < 12 and int(x) <= 255 or not x.lstrip("0") for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         digits = _SEPARATORS.sub("", m[0])
