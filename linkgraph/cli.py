@@ -1,4 +1,4 @@
-"""Command line: ``python -m linkgraph.cli [check | web-check] ROOT [options]``; without a command, repair or robustify."""
+"""Command line: ``python -m linkgraph.cli [check | web-check | gate] ROOT [options]``; without a command, repair or robustify."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkgraph.operators import check, documents, repair, robustify, web
+from linkgraph.operators import check, documents, policy, repair, robustify, web
 from linkgraph.operators.documents import Options
 from linkgraph.sources import tree as trees
 
@@ -20,7 +20,7 @@ SHOWN = 20
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="linkgraph", description=__doc__)
     out.add_argument("root")
-    out.add_argument("--command", choices=("links", "check", "web-check"), default="links", help=argparse.SUPPRESS)
+    out.add_argument("--command", choices=("links", "check", "web-check", "gate"), default="links", help=argparse.SUPPRESS)
     out.add_argument("--write", action="store_true", help="write what is planned; without it nothing is written")
     out.add_argument("--robustify", action="store_true", help="anchor plain links instead of repairing robust ones")
     out.add_argument("--create-frontmatter", action="store_true")
@@ -35,7 +35,9 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--json", action="store_true")
     out.add_argument("--online", action="store_true", help="web-check: fetch the destinations")
     out.add_argument("--own", action="append", default=[], metavar="OWNER")
+    out.add_argument("--own-from-origin", action="store_true")
     out.add_argument("--own-max", type=int)
+    out.add_argument("--config", metavar="FILE", help="gate: its configuration, as JSON")
     return out
 
 
@@ -51,12 +53,16 @@ def _print(findings: DataFrame, as_json: bool) -> None:
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
-    """0: nothing to do; 1: findings or a wrong call; check: 2 broken, 3 loose; web-check: 3 anchors pending, 4 problems."""
+    """0: nothing to do; 1: findings or a wrong call; check: 2 broken, 3 loose; web-check: 3 anchors pending, 4 problems; gate: as policy.Verdict."""
     argv = list(sys.argv[1:] if argv is None else argv)
-    command = argv.pop(0) if argv[:1] in (["check"], ["web-check"]) else "links"
+    command = argv.pop(0) if argv[:1] in (["check"], ["web-check"], ["gate"]) else "links"
     args = parser().parse_args([*argv, "--command", command])
-    if command == "check" and args.write:
-        print("check never writes", file=sys.stderr)
+    if command in ("check", "gate") and args.write:
+        print(f"{command} never writes", file=sys.stderr)
+        return 1
+    origin = policy.origin_owner(args.root) if args.own_from_origin else None
+    if args.own_from_origin and not origin:
+        print("the owner of origin can't be told", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("linkgraph").getOrCreate()
     options = Options(excludes=tuple(args.exclude), ignore_blocks=tuple(args.ignore_block), deny_globs=tuple(args.no_create_frontmatter_for), create_frontmatter=args.create_frontmatter, create_readme=args.create_readme, allow_target_writes=not args.no_target_writes, marker_prefix=args.marker_prefix)
@@ -73,10 +79,19 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         found = check.check(tree, options, scope)
         _print(found.findings, args.json)
         return found.verdict().first().code
+    if command == "gate":
+        try:
+            config = policy.GateConfig.read(args.config) if args.config else policy.GateConfig()
+            verdict = policy.run(tree, config, staged=scope, options=options)
+        except ValueError as error:
+            print(error, file=sys.stderr)
+            return 1
+        print(json.dumps(verdict.counts), *verdict.notes, sep="\n")
+        return verdict.code
     if command == "web-check":
         docs = documents.prepared(tree, options)
         fetches = web.fetched(web.web_links(docs)) if args.online else spark.createDataFrame([], "href string, status int, body string")
-        found = web.check(tree, fetches, options, tuple(args.own))
+        found = web.check(tree, fetches, options, (*args.own, *([origin] if origin else [])))
         _print(found.findings, args.json)
         if args.online and args.write:
             trees.write(found.rewrites(), args.root)

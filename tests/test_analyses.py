@@ -174,3 +174,21 @@ def test_streaming_gate(spark, tmp_path):
     query = gated(changes, lambda: tree_of(spark, base), lambda found, n: taken.append(kinds(found.findings))).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert taken == [[("s.md", "dangling", "gone.md")]]
+
+
+def test_gate_policy(spark, tmp_path):
+    from linkgraph.operators.policy import GateConfig, owner_of, run
+
+    assert [owner_of(x) for x in ("https://github.com/Own/r.git", "git@github.com:own/r", "ssh://git@ssh.github.com:443/o/r", "https://other.org/a/b")] == ["Own", "own", "o", None]
+    file = tmp_path / "gate.json"
+    file.write_text('﻿{"mode": "max", "dangling": "on", "dangling_max": "two", "excludes": ["x"], "other": 1}', encoding="utf-8")
+    config = GateConfig.read(str(file))
+    assert (config.mode, config.dangling, config.dangling_max, config.excludes) == ("max", "repo", 0, ("x",)) and GateConfig.read("none.json") == GateConfig()
+    clean, lost = {"B.md": DOC, "s.md": f"[b](B.md){a(U)}"}, {"B.md": DOC, "s.md": f"[b](B.md){a(U)} [m](gone.md)", "d/x.md": "x"}
+    assert run(tree_of(spark, clean), config).code == 0
+    tree = tree_of(spark, lost)
+    assert run(tree, config).code == 1 and run(tree, GateConfig(dangling="repo", dangling_max=2)).notes and run(tree, GateConfig(dangling="warn")).code == 0
+    assert run(tree_of(spark, lost | {"t.md": "[d](d)"}), GateConfig(create_readme=True)).counts["create_readme"] == 1
+    staged, hunks = spark.createDataFrame([("s.md",)], "path string"), spark.createDataFrame([("s.md", 2, 1)], "path string, start_line int, n_lines int")
+    assert run(tree, GateConfig(scope="staged", dangling="added-lines"), staged, hunks).code == 0
+    assert run(tree, GateConfig(scope="staged", dangling="added-lines"), staged, spark.createDataFrame([("s.md", 1, 1)], hunks.schema)).code == 1
