@@ -186,7 +186,9 @@ def find(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     signed = _shared.written(source.mapInArrow(lambda batches: _sign(batches, words), "id long, n long, content binary, bands array<long>"), "signatures")
     named = signed.where("n > 0 AND id IS NOT NULL")
+    # Sets of several ids.  A table of its own, so that joins with it can split the rows of a set of many copies.
     classes = named.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
+    classes = _shared.written(classes, "classes")
     # Of copies of a set, the one with the smallest id goes on; a set of any number of copies is one row of each task.
     heads = named.groupBy("content").agg(F.min(F.struct("id", "bands")).alias("h"))
     keys = heads.select(F.col("h.id").alias("node"), F.explode("h.bands").alias("key"))

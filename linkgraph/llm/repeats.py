@@ -231,6 +231,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     long = prints.where(f"n >= {WINDOW} AND id IS NOT NULL")
     # Of documents with the same words, the one with the smallest id stands for all; the others lose every word.
     classes = long.groupBy("content", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("content", "n", "least")
+    # A table of its own, so that the join with it can split the rows of a class of many copies.
+    classes = _shared.written(classes, "classes")
     heads = long.groupBy("content", "n").agg(F.min(F.struct("id", "marks")).alias("h"))
     grams = heads.select("h.id", "content", F.explode("h.marks").alias("m")).select("id", "content", F.col("m.h").alias("h"), F.col("m.p").alias("p"))
     shared = grams.groupBy("h").agg(F.min(F.struct("id", "content", "p")).alias("o"), F.max("id").alias("most")).where("o.id < most")
