@@ -129,7 +129,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 def _missed(stars: DataFrame) -> DataFrame:
     """Pairs that aren't linked by their pivot and may be similar, as (r, x) with r < x."""
-    open_pivots = stars.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("unlinked")).where("n > 1 AND unlinked > 0").select("r")
+    # A table of its own, so that the join with it can split the rows of a pivot of many documents.
+    open_pivots = _shared.written(stars.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("unlinked")).where("n > 1 AND unlinked > 0").select("r"), "pivots")
     found = stars.join(open_pivots, "r")
     # The order of the elements: those that fewer documents differ in from the pivot come first.
     each = found.select("r", "x", F.explode("tokens").alias("token"))
