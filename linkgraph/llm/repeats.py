@@ -2,7 +2,8 @@
 
 A window is WINDOW consecutive words.  Winnowing picks a k-gram from every run of windows, and
 equal windows pick the same one; a k-gram that several documents have marks, in the document
-with the smallest id that has it, a passage: the windows around that k-gram.
+with the smallest id that has it, passages: the windows around each of its places there, each
+distinct window once.
 
 The passages that a shard of documents can repeat are compiled into an automaton over the
 beginnings of their marked k-grams; every document of the shard is streamed through it, and
@@ -31,6 +32,8 @@ WINDOW, K, KEY = 50, 16, 8
 SPAN = WINDOW - K + 1
 #: Characters of the documents of a shard.
 SHARD_CHARS = 1 << 20
+#: Places of a key that are extended without a look at the words around them first.
+FEW = 8
 _OTHER = _text.bases(50_231)
 _EMPTY = hashlib.sha256(b"").digest()
 
@@ -112,13 +115,17 @@ class Automaton:
         self.owners = [x[0] for x in passages]
         self.words = [Words(x[1]) for x in passages]
         self.found = ahocorasick.Automaton()
+        # All passages one after another, with gaps that equal no word.
+        gap = np.zeros(WINDOW, np.uint64)
+        self.line = np.concatenate([gap, *(x for words in self.words for x in (words.hashes, gap))])
+        begins = np.cumsum([WINDOW, *(len(words.hashes) + WINDOW for words in self.words)])
         places: dict[str, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             # The marked k-grams of the passage's windows; each of them is a beginning that is looked for.
             for at in np.unique(words.marks()[2]).tolist():
                 places.setdefault(self._key(words.raw[at : at + KEY]), []).append((k, at))
         for key, where in places.items():
-            self.found.add_word(key, where)
+            self.found.add_word(key, (where, np.array([begins[k] + at for k, at in where]) if len(where) > FEW else None))
         if places:
             self.found.make_automaton()
 
@@ -126,6 +133,16 @@ class Automaton:
     def _key(words: list[bytes]) -> str:
         return f" {b' '.join(words).decode('utf-8', 'surrogateescape')} "
 
+    def _near(self, hashes: np.ndarray, at: int, where: list[tuple[int, int]], places: np.ndarray) -> list[tuple[int, int]]:
+        """Those of where whose common run with the text, up to WINDOW words on each side, has WINDOW words; hashes: the text's between gaps."""
+        around = np.arange(-WINDOW, WINDOW)
+        out = []
+        for i in range(0, len(places), 10_000):
+            wrong = self.line[places[i : i + 10_000, None] + around] != hashes[at : at + 2 * WINDOW]
+            back, ahead = (np.where(x.any(axis=1), x.argmax(axis=1), WINDOW) for x in (wrong[:, WINDOW - 1 :: -1], wrong[:, WINDOW:]))
+            out += [where[i + j] for j in np.flatnonzero(back + ahead >= WINDOW).tolist()]
+        return out
+
     def runs(self, id: int, words: Words) -> list[tuple[int, int]]:
         """Longest runs of WINDOW words or more that are in a passage of a smaller id, as word intervals."""
         if not len(self.found) or len(words.raw) < WINDOW:
@@ -134,9 +151,13 @@ class Automaton:
         begins = np.cumsum([1, *(len(w.decode("utf-8", "surrogateescape")) + 1 for w in words.raw)])
         done: dict[tuple[int, int], int] = {}
         out = []
-        for end, where in self.found.iter(text):
+        gap = np.ones(WINDOW, np.uint64)
+        hashes = np.concatenate((gap, words.hashes, gap))
+        for end, (where, places) in self.found.iter(text):
             last = int(np.searchsorted(begins, end, "right"))  # words up to the key's end
             at = last - KEY
+            if places is not None:
+                where = self._near(hashes, at, where, places)
             for k, place in where:
                 if self.owners[k] >= id or done.get((k, at - place), 0) > at:
                     continue
@@ -191,12 +212,19 @@ def _stream(docs: pa.Table, passages: pa.Table) -> pa.Table:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """owner, content, text and word intervals, into one row for each interval."""
+    """owner, content, text and word intervals, into one row for each interval of windows that stand in no interval before."""
     for batch in batches:
         owners, contents, passages = [], [], []
         for owner, content, text, spans in zip(*(batch.column(k) for k in range(4)), strict=True):
-            raw = Words(text.as_py()).raw
-            for s, e in merged([(max(0, x["s"]), min(len(raw), x["e"])) for x in spans.as_py()]):
+            words = Words(text.as_py())
+            raw, whole = words.raw, merged([(max(0, x["s"]), min(len(words.raw), x["e"])) for x in spans.as_py()])
+            at = np.concatenate([np.arange(s, e - WINDOW + 1) for s, e in whole])
+            one, two = (_text.run_hash(words.hashes, at, at + WINDOW, *base) for base in (_text._GRAM, _OTHER))
+            order = np.lexsort((two, one))
+            new = np.ones(len(at), bool)
+            new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+            at = np.sort(at[order[new]])
+            for s, e in merged([(w, w + WINDOW) for w in at.tolist()]):
                 owners.append(owner.as_py())
                 contents.append(content.as_py())
                 passages.append(b" ".join(raw[s:e]).decode("utf-8", "surrogatepass"))
@@ -204,13 +232,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _round(docs: DataFrame, sources: DataFrame, needs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stream docs (id, content, known, spans) through the passages (owner, owner_content, spans) that needs (id, content, owner, owner_content) names."""
+    """Stream docs (id, content, known, spans) through the passages (owner, owner_content, spans) that needs (id, content, owner) names."""
     keyed = texts.select("id", "content", "text")
     passages = sources.join(keyed.select(F.col("id").alias("owner"), F.col("content").alias("owner_content"), "text"), ["owner", "owner_content"]).select("owner", "owner_content", "text", "spans").mapInArrow(_extract, "owner long, owner_content long, passage string")
     left = docs.join(keyed, ["id", "content"])
     size = left.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("id", "content"), F.lit(max(1, -(-size // SHARD_CHARS)))).alias("shard")
-    right = needs.select(shard, "owner", "owner_content").distinct().join(passages, ["owner", "owner_content"]).select("shard", "owner", "passage")
+    right = needs.select(shard, "owner").distinct().join(passages, "owner").select("shard", "owner", "passage")
     left = left.select(shard, "id", "content", "text", "known", "spans")
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_stream, _RESULT)
 
@@ -235,12 +263,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = _shared.written(classes, "classes")
     heads = long.groupBy("content", "n").agg(F.min(F.struct("id", "marks")).alias("h"))
     grams = heads.select("h.id", "content", F.explode("h.marks").alias("m")).select("id", "content", F.col("m.h").alias("h"), F.col("m.p").alias("p"))
-    shared = grams.groupBy("h").agg(F.min(F.struct("id", "content", "p")).alias("o"), F.max("id").alias("most")).where("o.id < most")
-    shared = _shared.written(shared.select("h", F.col("o.id").alias("owner"), F.col("o.content").alias("owner_content"), F.col("o.p").alias("p")), "shared")
-    held = _shared.written(grams.select("id", "content", "h").distinct().join(shared, "h").where("owner < id").select("id", "content", "h", "owner", "owner_content"), "held")
-    sources = shared.groupBy("owner", "owner_content").agg(F.collect_list(F.struct((F.col("p") - (SPAN - 1)).alias("s"), (F.col("p") + WINDOW).alias("e"))).alias("spans"))
-    touched = held.groupBy("id", "content").agg(F.collect_list("h").alias("known")).withColumn("spans", F.array().cast("array<struct<s:int,e:int>>"))
-    needs = held.select("id", "content", "owner", "owner_content").distinct()
+    shared = _shared.written(grams.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most").select("h", "owner"), "shared")
+    # Every place of the k-gram in its owner makes a passage: the words around it can differ.
+    found = _shared.written(grams.join(shared, "h"), "held")
+    sources = found.where("id = owner").groupBy("owner", F.col("content").alias("owner_content")).agg(F.collect_list(F.struct((F.col("p") - (SPAN - 1)).alias("s"), (F.col("p") + WINDOW).alias("e"))).alias("spans"))
+    held = found.where("owner < id")
+    touched = held.groupBy("id", "content").agg(F.collect_set("h").alias("known")).withColumn("spans", F.array().cast("array<struct<s:int,e:int>>"))
+    needs = held.select("id", "content", "owner").distinct()
     wanted = held.select("id").unionByName(held.select(F.col("owner").alias("id"))).distinct()
     texts = _shared.written(source.join(wanted, "id", "left_semi").mapInArrow(_with_content, "id long, text string, content long"), "texts")
     first = _shared.written(_round(touched, sources, needs, texts), "removed")
@@ -249,7 +278,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     again = rest.groupBy("h", "g").agg(F.min(F.struct("id", "content", "p")).alias("o"), F.max("id").alias("most")).where("o.id < most")
     again = _shared.written(again.select("h", "g", F.col("o.id").alias("owner"), F.col("o.content").alias("owner_content"), F.col("o.p").alias("p")), "shared")
     sources = again.groupBy("owner", "owner_content").agg(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + WINDOW).alias("e"))).alias("spans"))
-    needs = _shared.written(rest.join(again, ["h", "g"]).where("owner < id").select("id", "content", "owner", "owner_content").distinct(), "held")
+    needs = _shared.written(rest.join(again, ["h", "g"]).where("owner < id").select("id", "content", "owner").distinct(), "held")
     more = first.join(needs.select("id", "content").distinct(), ["id", "content"]).select("id", "content", F.array().cast("array<bigint>").alias("known"), "spans")
     second = _round(more, sources, needs, texts).select("id", "content", *(F.col(k).alias(f"{k}_2") for k in ("removed", "kept", "spans")))
     results = first.select("id", "content", "removed", "kept", "spans").join(second, ["id", "content"], "left")

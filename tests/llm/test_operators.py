@@ -86,6 +86,22 @@ def test_repeats(spark):
     assert sorted((x.doc_id or 0, x.n_removed) for x in repeats.find(rows).collect()) == [(0, 0), (1, 0), (1, 0), (2, 80)]
 
 
+def test_repeats_of_a_line_that_stands_several_times_in_its_first_document(spark, monkeypatch):
+    line, (x, y, z, u) = prose(50, 20), (prose(k, 60) for k in (51, 52, 53, 54))
+    texts = [f"{x} {line} {y} {line} {z}", f"{line} {z}", f"{prose(55, 30)} {line} {y}", f"{prose(56, 60)} {line} {u}", f"{line} {u}", " ".join([line] * 40), " ".join([line] * 30 + [u])]
+    docs = documents(spark, texts)
+    want = oracle("op5_repeats", documents=docs.select("doc_id", "text").toPandas())
+    assert want.sort_values("doc_id").n_removed.tolist()[:3] == [0, 80, 80]
+    same(repeats.find(docs).drop("spans").toPandas(), want)
+    words, passages = repeats.Words(texts[6]), [(0, texts[0]), (5, texts[5])]
+    runs = repeats.Automaton(passages).runs(6, words)
+    monkeypatch.setattr(repeats, "FEW", 0)  # all places by what stands around them
+    assert repeats.Automaton(passages).runs(6, words) == runs != []
+    # An id with two texts: the second owns passages, too.
+    rows = spark.createDataFrame([(1, f"{x} {line} {y}"), (1, f"{u} {line} {z}"), (2, f"{line} {z}"), (3, f"{line} {y}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in repeats.find(rows).collect()) == [(1, 0), (1, 0), (2, 80), (3, 80)]
+
+
 def test_contamination(spark, monkeypatch):
     items = [prose(20, 30), prose(21, 12), "Only Four words here", "x", None, "", prose(20, 30), "a a a a a a a a a a a a"]
     inside = [f"{prose(30, 40)} {items[0]} {prose(31, 5)}", items[0].upper().replace(" ", "--"), " ".join(items[1].split()[1:11]), " ".join(items[1].split()[1:10]), "so only four words, here!", "a " * 40, "x", None, "", prose(33, 2000) + " " + items[1]]
