@@ -147,7 +147,7 @@ _HITS_ARROW = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Callable[[], Broadcast]]:
     """What broadcasts each slice of the items; a slice is collected only when its turn comes."""
-    items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("text")).dropna()
+    items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("text")).dropna(subset=["text"])
     size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     passes = -(-2 * size // BROADCAST_CHARS) if size > BROADCAST_CHARS else 1
     for k in range(passes):
@@ -178,7 +178,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     An item's windows are its runs of WINDOW words, or all its words where it has fewer; an item
     without words or with null text has none.  A null or empty document has no words.  Items of
-    the same name count once; repeated documents stay; other columns are not looked at.  Whole
+    the same name count once, and so do all without a name, as a null at the end of items, which
+    no digest of names takes in; repeated documents stay; other columns are not looked at.  Whole
     texts are searched.  Items go to the executors in slices of at most BROADCAST_CHARS, each a
     pass of its own whose rows are written to the shared folder; no document is shuffled.
     """
@@ -204,7 +205,7 @@ def _pass(index, first: bool, text: bool):
                     hits, items = old.column(3).to_pylist(), old.column(4).to_pylist()
                 for d, (spans, names) in found.items():
                     hits[d] = [{"s": s, "e": e} for s, e in merged([*((x["s"], x["e"]) for x in hits[d]), *spans])]
-                    items[d] = sorted({*items[d], *names})
+                    items[d] = sorted({*items[d], *names}, key=lambda x: (x is None, x))
                 columns = {"key": old.column(0)} | ({"text": old.column(1)} if text else {}) | {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, _HITS_ARROW), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 

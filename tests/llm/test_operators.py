@@ -115,6 +115,18 @@ def test_contamination(spark, monkeypatch):
     assert contamination.digest(contamination.scan(docs, bench.limit(0))).where("contaminated").count() == 0
 
 
+def test_contamination_by_items_without_a_name(spark, monkeypatch):
+    items = [(None, prose(20, 30)), (None, prose(21, 12)), (3, prose(22, 15)), (None, None), (None, "only four words here"), (5, None)]
+    inside = [f"{prose(30, 40)} {items[0][1]}", f"{items[1][1]} {items[2][1]} {items[0][1]}", items[2][1], "only four words here", prose(31, 30), None]
+    docs, bench = documents(spark, inside), spark.createDataFrame(items, "item_id long, text string")
+    want = oracle("op9_contamination", documents=docs.select("doc_id", "text").toPandas(), benchmark=bench.toPandas().astype({"item_id": "Int64"}))
+    assert want.sort_values("doc_id").n_items.tolist() == [1, 2, 1, 1, 0, 0]
+    for chars in (contamination.BROADCAST_CHARS, 60):
+        monkeypatch.setattr(contamination, "BROADCAST_CHARS", chars)
+        same(contamination.digest(contamination.scan(docs, bench)).toPandas(), want)
+        assert {x.doc_id for x in contamination.clean_documents(docs, bench).collect()} == {4, 5}
+
+
 def test_url_rules(spark):
     hosts = ["com", "a.example.com", "EXAMPLE.com", "xexample.com", "example.net", "b.c.net", "org", "e.org", "", "com.", "user@example.com:80"]
     tails = ["/en/7", "/en/71?x", "/en/6", "/de/8#f", "/de/9", "/es/", "/es", "", "?q=/en/", "#/en/", "/EN/7"]
