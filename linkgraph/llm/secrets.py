@@ -107,17 +107,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     looked at.  No row leaves its partition.
     """
     rows = _scanned(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text", allowed)
+    rows = rows.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
     return rows.select(F.col("row.id").alias(id_col), "text", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
 def _scanned(docs: DataFrame, text_col: str, allowed: Sequence[str]) -> DataFrame:
-    """row (all columns of docs), text, base, more."""
+    """row (all columns of docs), text, base, more: all dense parts, those that overlap base spans among them."""
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     named = base_spans(F.col("text"))
     tag = lambda kind, spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[tag(k, v) for k, v in named.items()])))
     rows = rows.withColumn("more", tag("entropy", entropy_spans(F.col("text"), allowed)))
-    return rows.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+    return rows
 
 
 def listed(spans: Column) -> Column:
@@ -143,7 +144,10 @@ def redact(text: Column, spans: Column, mark: str) -> Column:
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
-    """All rows and columns of docs, with the secrets of the text replaced by mark, and length_col made to follow where a text changes."""
+    """All rows and columns of docs, with the secrets of the text replaced by mark, and length_col made to follow where a text changes.
+
+    A dense part that overlaps a base span is no span of ``scan``, but is replaced here together with it.
+    """
     rows = _scanned(docs, text_col, allowed).withColumn("spans", F.array_sort(F.concat("base", "more")))
     found = F.size("spans") > 0
     rows = rows.withColumn("clean", F.when(found, redact(F.col("text"), F.col("spans"), mark)))
