@@ -228,19 +228,26 @@ class PieceEncoder:
     each distinct word goes through the library once, together with others, and is remembered.
     Texts with two blanks in a row, blanks beyond ASCII or very long words go through the
     library whole, and so do all texts of any other tokenizer (byte_level=False).
+
+    special: content of a special token in a text is that token, as the library has it unless
+    told otherwise; else it is text like any other.  Texts with an added token's content go
+    through the library whole.
     """
 
-    def __init__(self, path: str, byte_level: bool = True) -> None:
+    def __init__(self, path: str, byte_level: bool = True, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
+        added = [x.content for x in self.library.get_added_tokens_decoder().values() if x.content]
+        self.added = [x.encode() for x in added]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
         self.width = self.dtype.itemsize
         if byte_level and (self.library.normalizer is not None or "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer)):
             raise ValueError("not a byte-level tokenizer: pass byte_level=False")
-        self.byte_level = byte_level
+        #: Words that are joined could make an added token that holds a blank.
+        self.byte_level = byte_level and not any(c.isspace() for x in added for c in x)
         #: Bytes of each token; a byte-level vocabulary writes each byte as one character.
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
@@ -324,6 +331,12 @@ class PieceEncoder:
             begins[:-1] = (data == 32) | feed
             begins[1:] |= feed
             begins[edges] = True
+            raw = data.tobytes()
+            for token in self.added:
+                at = raw.find(token)
+                while at >= 0:
+                    odd = np.append(odd, at)
+                    at = raw.find(token, int(edges[np.searchsorted(edges, at, "right")]))
             starts = np.flatnonzero(begins[:-1])
             ends = np.append(starts[1:], len(data))
             odd = np.concatenate((odd, starts[ends - starts > LONGEST]))
@@ -343,32 +356,32 @@ class PieceEncoder:
 
 
 _OTHER = _text.bases(2_026)
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str, byte_level: bool) -> PieceEncoder:
-    if (path, byte_level) not in _encoders:
-        _encoders[path, byte_level] = PieceEncoder(path, byte_level)
-    return _encoders[path, byte_level]
+def _encoder(*how: str | bool) -> PieceEncoder:
+    if how not in _encoders:
+        _encoders[how] = PieceEncoder(*how)
+    return _encoders[how]
 
 
 SHARDS = "shard int, path string, n_docs long, n_ids long"
 
 
-def write(docs: DataFrame, path: str, end_id: int, byte_level: bool = True, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataType]:
+def write(docs: DataFrame, path: str, end_id: int, byte_level: bool = True, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> tuple[DataFrame, DataType]:
     """Encode every whole text and write the ids in ascending order of id_col: shard, path, n_docs, n_ids; and the type of the keys.
 
     Each shard is one file and holds a range of keys; shard numbers ascend with the keys.  Rows
     of the same key are ordered by a hash of their text, null keys come first, a null text is
     empty, and end_id closes every document.  Files of attempts that failed are in no row.
-    path: a tokenizer file that every executor can read.  Other columns are not looked at.
+    path: a tokenizer file that every executor can read.  special: as PieceEncoder has it.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     folder = folder or _shared.new_path(spark, "token-ids")
     key_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = _encoder(path, byte_level), TaskContext.get()
+        encoder, context = _encoder(path, byte_level, special), TaskContext.get()
         end = np.asarray([end_id], encoder.dtype).tobytes()
         batch = next(batches, None)
         while batch is not None and not len(batch):

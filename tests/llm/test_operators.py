@@ -271,6 +271,19 @@ def test_token_files(spark):
     assert token_files.read(shards, key).count() == 0
 
 
+def test_token_files_of_the_query_take_special_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain words", "<|endof", "text|> c", "x<|endoftext|><|endoftext|>y z", "<|endoftext|>", None, "é\n<|endoftext|>"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for row in sorted(queries.op2_token_files(spark, str(tmp_path)).collect(), key=lambda x: x.doc_id):
+        ids = np.array([*library.encode(texts[row.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), __import__("zlib").crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_token_file_reads_only_what_is_asked_for():
     import pyarrow as pa
 
