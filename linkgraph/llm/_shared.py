@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of the Arrow batches of tables that are written, for each worker holds some of them.
+BATCH_BYTES = 8 << 20
+
+
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a new temporary folder, which suits one machine."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir of the session; only where it is unset, a new temporary folder, if there is one machine only."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not known:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jvm_dir = context._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="linkgraph-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -23,10 +33,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, with its lineage cut."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,18 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_SEED = 0x5EED_2024
 #: Bytes that one vectorised pass takes at once; a longer document is a pass of its own.
 SLICE_BYTES = 1 << 19
-
-_rng = np.random.default_rng(_SEED)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_P = U64(int(_rng.integers(2**62, 2**63, dtype=np.uint64)) | 5)
-_P_INV = U64(pow(int(_P), -1, 2**64))
+#: Bytes of a word that is hashed together with others, eight bytes at a time; a longer one goes through XXH3 alone.
+LONG_WORD = 64
+#: Odd multipliers, a row for each family of hashes.
+_ODD = np.random.default_rng(0x5EED_2024).integers(0, 2**64, (2, 8), dtype=np.uint64) | U64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 #: Anything but a space or one of the five ASCII controls from tab to carriage return.
 NON_SPACE = np.ones(256, dtype=bool)
@@ -30,22 +31,6 @@ NON_SPACE[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept up to a bounded length."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        length = max(n, SLICE_BYTES + 1)
-        step = np.full(length, base, dtype=np.uint64)
-        step[0] = 1
-        have = np.multiply.accumulate(step)
-        if length <= 4 * SLICE_BYTES:
-            _powers[int(base)] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> U64(30))
@@ -56,18 +41,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _P, inverse: np.uint64 = _P_INV) -> np.ndarray:
-    """A hash of values[start:end] for each pair, independent of where the run stands."""
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=total[1:])
-    out = (total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts]
-    return mix(out ^ ((ends - starts).astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
+def joined(left: np.ndarray, right: np.ndarray, family: int = 0) -> np.ndarray:
+    """The hash of a sequence from those of its two parts."""
+    return mix(left * _ODD[family, 1] + right)
 
 
-def bases(seed: int) -> tuple[np.uint64, np.uint64]:
-    """A further pair of base and inverse for run_hash."""
-    p = int(np.random.default_rng(seed).integers(2**62, 2**63, dtype=np.uint64)) | 5
-    return U64(p), U64(pow(p, -1, 2**64))
+def run_hashes(words: np.ndarray, k: int, family: int = 0) -> np.ndarray:
+    """The hash of words[i : i + k] for every i: a tree over runs of 1, 2, 4 and so on, whatever the words."""
+    power, size, out, done = words, 1, None, 0
+    while True:
+        if k & size:
+            ahead = power[done:] if done else power
+            out = ahead if out is None else joined(out[: len(ahead)], ahead[: len(out)], family)
+            done += size
+        if 2 * size > k:
+            return out[: max(0, len(words) - k + 1)]
+        power, size = joined(power[: max(0, len(power) - size)], power[size:], family), 2 * size
 
 
 class Slice:
@@ -93,8 +82,24 @@ class Slice:
         ends = np.flatnonzero(inside & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-        return run_hash((_BYTE_LOWER if lower else _BYTE)[self.data], starts, ends)
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool, family: int = 0) -> np.ndarray:
+        """A hash of each word's bytes; those of different families are independent. lower: with A-Z as a-z."""
+        data, odd = (_LOWER[self.data] if lower else self.data), _ODD[family]
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        numbers = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+        sizes = ends - starts
+        out = mix(sizes.astype(np.uint64) * odd[2] + odd[3])
+        rows = np.flatnonzero(sizes <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            rows = rows[sizes[rows] > at] if at else rows
+            if not len(rows):
+                break
+            chunk = numbers[starts[rows] + at] & _FIRST_BYTES[np.minimum(sizes[rows] - at, 8)]
+            out[rows] = mix((out[rows] ^ chunk) * odd[4])
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), int(odd[5]))
+        return out
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
@@ -113,7 +118,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         at = end
 
 
-def ngrams(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(words: np.ndarray, first: np.ndarray, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k consecutive words of one document, and the index of the word each begins at."""
     n = len(words)
     if n < k:
@@ -123,7 +128,4 @@ def ngrams(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
         cut = first[1:-1] - back
         fits[cut[(cut >= 0) & (cut < len(fits))]] = False
     at = np.flatnonzero(fits)
-    return run_hash(words, at, at + k, *_GRAM), at
-
-
-_GRAM = bases(_SEED + 1)
+    return run_hashes(words, k, family)[at], at

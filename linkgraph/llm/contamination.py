@@ -24,7 +24,6 @@ WINDOW, K = 10, 5
 SPAN = WINDOW - K + 1
 #: Characters of benchmark items that are broadcast at once; more are taken in slices of this size.
 BROADCAST_CHARS = 16_000_000
-_OTHER = _text.bases(20_252)
 
 
 def winnow(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -42,12 +41,24 @@ def winnow(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
-def _both(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Two independent hashes of each window, as one array of pairs."""
-    out = np.empty(len(starts), dtype=[("a", np.uint64), ("b", np.uint64)])
-    out["a"] = _text.run_hash(words, starts, starts + size, *_text._GRAM)
-    out["b"] = _text.run_hash(words, starts, starts + size, *_OTHER)
-    return out
+class Words:
+    """The words of some documents, by hashes of two families."""
+
+    def __init__(self, part: _text.Slice) -> None:
+        starts, ends, self.first = part.words(_text.ALNUM)
+        self.hashes = [part.word_hashes(starts, ends, lower=True, family=k) for k in (0, 1)]
+
+    def __len__(self) -> int:
+        return len(self.hashes[0])
+
+    def windows(self, size: int, starts: np.ndarray) -> np.ndarray:
+        """Two independent hashes of the windows of size words, as one array of pairs."""
+        out = np.empty(len(starts), dtype=[("a", np.uint64), ("b", np.uint64)])
+        out["a"], out["b"] = (_text.run_hashes(x, size, k)[starts] for k, x in enumerate(self.hashes))
+        return out
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return _text.ngrams(self.hashes[0], self.first, size)
 
 
 @dataclass
@@ -88,28 +99,28 @@ class Index:
         prints, windows, owners, short = [np.zeros(0, np.uint64)], [], [], {}
         at = 0
         for part in _text.slices(pa.array([x[1] for x in items], pa.string())):
-            starts, ends, first = part.words(_text.ALNUM)
-            words = part.word_hashes(starts, ends, lower=True)
-            grams, places = _text.ngrams(words, first, K)
+            words = Words(part)
+            first = words.first
+            grams, places = words.grams(K)
             prints.append(grams[winnow(grams, places)])
-            _, places = _text.ngrams(words, first, WINDOW)
-            windows.append(_both(words, places, WINDOW))
+            _, places = words.grams(WINDOW)
+            windows.append(words.windows(WINDOW, places))
             owners.append(at + np.searchsorted(first, places, "right") - 1)
             for k in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < WINDOW)):
                 size = int(first[k + 1] - first[k])
-                short.setdefault(size, []).append((_both(words, first[k : k + 1], size), at + k))
+                short.setdefault(size, []).append((words.windows(size, first[k : k + 1]), at + k))
             at += len(part)
         self.prints = np.unique(np.concatenate(prints))
         self.sieve = np.zeros(1 << 20, dtype=bool)
         self.sieve[self.prints & _text.U64(0xFFFFF)] = True
-        self.whole = Lookup.of(np.concatenate(windows), np.concatenate(owners)) if windows else Lookup.of(_both(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1), np.zeros(0, np.int64))
+        self.whole = Lookup.of(np.concatenate(windows), np.concatenate(owners)) if windows else Lookup.of(np.zeros(0, [("a", np.uint64), ("b", np.uint64)]), np.zeros(0, np.int64))
         self.short = {size: Lookup.of(np.concatenate([x[0] for x in found]), np.array([x[1] for x in found])) for size, found in short.items()}
 
     def search(self, part: _text.Slice) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[object]]]]:
         """Number of words of each document; for those with occurrences, word intervals without overlap and items."""
-        starts, ends, first = part.words(_text.ALNUM)
-        words = part.word_hashes(starts, ends, lower=True)
-        grams, at = _text.ngrams(words, first, K)
+        words = Words(part)
+        first = words.first
+        grams, at = words.grams(K)
         kept = winnow(grams, at)
         kept = kept[self.sieve[grams[kept] & _text.U64(0xFFFFF)]]
         joined = at[kept[np.isin(grams[kept], self.prints)]]
@@ -117,10 +128,10 @@ class Index:
         begin = begin[(begin >= 0) & (begin + WINDOW <= len(words))]
         doc = np.searchsorted(first, begin, "right") - 1
         begin = begin[begin + WINDOW <= first[doc + 1]]
-        found = [(begin[rows], WINDOW, self.whole, place) for rows, place in [self.whole.find(_both(words, begin, WINDOW))]]
+        found = [(begin[rows], WINDOW, self.whole, place) for rows, place in [self.whole.find(words.windows(WINDOW, begin))]]
         for size, lookup in self.short.items():
-            _, places = _text.ngrams(words, first, size)
-            rows, place = lookup.find(_both(words, places, size))
+            _, places = words.grams(size)
+            rows, place = lookup.find(words.windows(size, places))
             found.append((places[rows], size, lookup, place))
         hits: dict[int, tuple[list[tuple[int, int]], set[object]]] = {}
         for places, size, lookup, place in found:

@@ -47,8 +47,11 @@ def shingle_sets(part: _text.Slice, k: int) -> list[np.ndarray]:
     grams, at = _text.ngrams(words, first, k)
     cut = np.searchsorted(at, first)
     out = [np.unique(grams[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k)):
-        out[d] = _text.run_hash(words, first[d : d + 1], first[d + 1 : d + 2], *_text._GRAM)
+    for n in range(1, k):
+        if len(few := np.flatnonzero(np.diff(first) == n)):
+            runs = _text.run_hashes(words, n)
+            for d in few.tolist():
+                out[d] = runs[first[d] : first[d] + 1]
     return out
 
 

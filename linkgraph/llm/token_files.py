@@ -287,9 +287,8 @@ class PieceEncoder:
 
     def _entries(self, part: _text.Slice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each word in young; new words are encoded."""
-        bytes_ = _text._BYTE[part.data]
-        keys = _text.run_hash(bytes_, starts, ends) | np.uint64(1)
-        checks = (_text.run_hash(bytes_, starts, ends, *_OTHER) >> np.uint64(32)).astype(np.uint32)
+        keys = part.word_hashes(starts, ends, lower=False) | np.uint64(1)
+        checks = (part.word_hashes(starts, ends, lower=False, family=1) >> np.uint64(32)).astype(np.uint32)
         entries = self.young.find(keys, checks)
         rows = np.flatnonzero(entries < 0)
         if not len(rows):
@@ -355,7 +354,6 @@ class PieceEncoder:
                 yield (next(rest).tobytes() if whole[d] else flat[stop[d] : stop[d + 1]]) + end
 
 
-_OTHER = _text.bases(2_026)
 _encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 

@@ -10,11 +10,12 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from linkgraph.llm import bpe, contamination, near_duplicates, personal, quality, queries, repeats, secrets, token_files, topk, urls
+from linkgraph.llm import _text, bpe, contamination, near_duplicates, personal, quality, queries, repeats, secrets, token_files, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,15 +94,64 @@ def test_repeats_of_a_line_that_stands_several_times_in_its_first_document(spark
     want = oracle("op5_repeats", documents=docs.select("doc_id", "text").toPandas())
     assert want.sort_values("doc_id").n_removed.tolist()[:3] == [0, 80, 80]
     same(repeats.find(docs).drop("spans").toPandas(), want)
-    words, passages = repeats.Words(texts[6]), [(0, texts[0]), (5, texts[5])]
-    runs = repeats.Automaton(passages).runs(6, words)
+    automaton = lambda: repeats.Automaton(np.array([0, 5]), pa.array([texts[0], texts[5]]))
+    words, ids = repeats.Texts(next(_text.slices(pa.array([texts[4], texts[6]])))), np.array([4, 6])
+    runs = automaton().runs(ids, words)
     monkeypatch.setattr(repeats, "FEW", 0)  # all places by what stands around them
-    assert repeats.Automaton(passages).runs(6, words) == runs != []
+    monkeypatch.setattr(repeats, "HITS", 3)
+    assert automaton().runs(ids, words) == runs != []
     # An id with two texts: the second owns passages, too.
     rows = spark.createDataFrame([(1, f"{x} {line} {y}"), (1, f"{u} {line} {z}"), (2, f"{line} {z}"), (3, f"{line} {y}")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in repeats.find(rows).collect()) == [(1, 0), (1, 0), (2, 80), (3, 80)]
 
 
+def alternating(n, a, b):
+    """The sequence of n parts a and b by the parity of their place's ones: hard for polynomial hashes modulo a power of two."""
+    return [b if k.bit_count() % 2 else a for k in range(n)]
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    for n in (64, 65, 1024, 4096):
+        pair = ["".join(alternating(n, *x)) for x in ("ab", "ba")]
+        part = next(_text.slices(pa.array(pair)))
+        for family in (0, 1):
+            one, two = part.word_hashes(*part.words(_text.NON_SPACE)[:2], False, family).tolist()
+            assert one != two
+        tail = prose(60, 60)
+        texts = [*pair, f"{pair[0]} {tail}", f"{pair[1]} {tail}", *[" ".join([*alternating(n, "x", "y")[i:], "end"]) for i in (0, 1)], " ".join(alternating(n, "y", "x"))]
+        docs = documents(spark, texts)
+        tables = {"documents": docs.select("doc_id", "text").toPandas()}
+        same(near_duplicates.find(docs).toPandas(), oracle("op1_near_duplicates", **tables))
+        same(repeats.find(docs).drop("spans").toPandas(), oracle("op5_repeats", **tables))
+        items = spark.createDataFrame([(0, pair[0]), (1, f"{pair[0]} {prose(61, 12)}")], "item_id long, text string")
+        same(contamination.digest(contamination.scan(docs, items)).toPandas(), oracle("op9_contamination", benchmark=items.toPandas(), **tables))
+
+
+def test_repeats_of_few_words(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 20)
+    monkeypatch.setattr(repeats, "SHARD_CHARS", 3000)
+    monkeypatch.setattr(repeats, "PASSAGE_CHARS", 1500)
+    rng = random.Random(8)
+    blocks = [" ".join(rng.choice("abcd") for _ in range(rng.randint(30, 90))) for _ in range(12)]
+    texts = [" ".join(rng.choice(blocks) if rng.random() < 0.7 else prose(rng.randint(100, 120), rng.randint(1, 40)) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    texts += [" ".join(rng.choice("ab") for _ in range(600)) for _ in range(10)] + ["a " * 700, "b " * 60 + "a " * 200, texts[7] + " a", *texts[3:20]]
+    docs = documents(spark, texts, extra=True)
+    same(repeats.find(docs).drop("spans").toPandas(), oracle("op5_repeats", documents=docs.select("doc_id", "text").toPandas()))
+
+
+def test_repeats_of_an_owners_second_place(spark):
+    """A window in an owner's later place of its marked k-gram, where the first place has other k-grams marked."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        gram, window = prose(200 + seed, 16), [prose(210 + seed, 17), prose(220 + seed, 17)]
+        shared = f"{window[0]} {gram} {window[1]}"
+        texts = [f"{prose(230 + seed, 60)} {gram} {prose(240 + seed, 60)} {prose(250 + seed, rng.randint(1, 9))} {shared} {prose(260 + seed, 40)}", f"{prose(270 + seed, 60)} {shared} {prose(280 + seed, 60)}"]
+        docs = documents(spark, texts)
+        want = oracle("op5_repeats", documents=docs.select("doc_id", "text").toPandas())
+        assert want.n_removed.sum() == 50
+        same(repeats.find(docs).drop("spans").toPandas(), want)
+
+
 def test_contamination(spark, monkeypatch):
     items = [prose(20, 30), prose(21, 12), "Only Four words here", "x", None, "", prose(20, 30), "a a a a a a a a a a a a"]
     inside = [f"{prose(30, 40)} {items[0]} {prose(31, 5)}", items[0].upper().replace(" ", "--"), " ".join(items[1].split()[1:11]), " ".join(items[1].split()[1:10]), "so only four words, here!", "a " * 40, "x", None, "", prose(33, 2000) + " " + items[1]]
