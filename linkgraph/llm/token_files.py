@@ -15,8 +15,10 @@ frames of the documents asked for.  Checksums are the low 32 bits of XXH64.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -37,8 +39,12 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of ids from which a frame is closed; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 17
 LEVEL = 3
-#: Words whose ids one worker remembers in each of two generations; new words that go through the library as one text.
-REMEMBERED, TOGETHER = 1_000_000, 500
+#: Words whose ids one worker remembers in each of two generations, some 25 MB each.
+REMEMBERED = 500_000
+#: New words that go through the library as one text; texts that it is given at once, for what it returns takes much memory.
+TOGETHER, AT_ONCE = 500, 16
+#: Bytes of texts that are taken at once.
+SLICE_BYTES = 1 << 18
 #: Bytes of a word that is remembered.
 LONGEST = 500
 
@@ -59,8 +65,7 @@ class Writer:
         self.zip = zstandard.ZstdCompressor(LEVEL, write_checksum=True)
         self.frames: list[tuple[int, int, int]] = []
         self.keys: list[object] = []
-        self.counts: list[int] = []
-        self.frame_of: list[int] = []
+        self.counts, self.frame_of = array("q"), array("i")
         self.open: list[bytes] = []
         self.held = 0
 
@@ -167,7 +172,7 @@ class Remembered:
         self.capacity, self.slots = capacity, 1 << (2 * capacity - 1).bit_length()
         self.keys, self.checks = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint32)
         self.entry = np.zeros(self.slots, np.int32)
-        self.starts, self.counts = np.zeros(capacity, np.int64), np.zeros(capacity, np.int64)
+        self.starts, self.counts = np.zeros(capacity, np.int64), np.zeros(capacity, np.int32)
         self.pool = np.zeros(1 << 20, dtype)
         self.n = self.used = 0
 
@@ -206,7 +211,7 @@ class Remembered:
 
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries one after another, and how many each has."""
-        counts = self.counts[entries]
+        counts = self.counts[entries].astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         return self.pool[np.repeat(self.starts[entries] - ends + counts, counts) + np.arange(total)], counts
@@ -235,6 +240,8 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, byte_level: bool = True, special: bool = False) -> None:
+        # Each task has a core; the library reads this before its first text.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -254,7 +261,8 @@ class PieceEncoder:
         self.young, self.old = Remembered(self.dtype, REMEMBERED), Remembered(self.dtype, 1)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(x.ids, self.dtype) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        found = (self.library.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False) for i in range(0, len(texts), AT_ONCE))
+        return [np.asarray(x.ids, self.dtype) for some in found for x in some]
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and how many each has.
@@ -269,7 +277,7 @@ class PieceEncoder:
                 joined.append(k)
                 parts.append(w if w[0] == " " else "\n" + w)
         texts = ["".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
-        ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.ids, np.int64) for x in self.library.encode_batch_fast(texts, add_special_tokens=False))])
+        ids = np.concatenate([np.zeros(0, self.dtype), *self._whole(texts)]).astype(np.int64)
         ends, wanted = np.cumsum(self.size[ids]), np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in parts])
         stop = np.searchsorted(ends, wanted) + 1
         if len(wanted) and not np.array_equal(ends[stop - 1], wanted):
@@ -317,7 +325,7 @@ class PieceEncoder:
         if not self.byte_level:
             yield from (x.tobytes() + end for text in texts for x in self._whole([text.as_py() or ""]))
             return
-        for part in _text.slices(texts):
+        for part in _text.slices(texts, SLICE_BYTES):
             data, edges = part.data, part.offsets
             blank = _BLANK[data]
             odd = np.flatnonzero(blank[1:] & blank[:-1])  # two in a row
