@@ -52,6 +52,14 @@ def read_uuid(text: Column) -> Column:
     return F.struct(status.alias("status"), F.when(simple != "", simple).otherwise(found["uuid"]).alias("uuid"))
 
 
+def plain_uuid(text: Column) -> Column:
+    """The first line ``uuid: ...`` of the block, in lower case and without quotes, whatever YAML makes of the block; null without one."""
+    block = F.regexp_extract(text, rf"(?s)\A---[{BLANK}]*\n(.*?)---[{BLANK}]*\n", 1)
+    found = F.regexp_extract(block, r"(?m)^uuid:[ \t]*(\S.*?)[ \t]*$", 1)
+    bare = F.lower(F.regexp_replace(found, "^['\"]+|['\"]+$", ""))
+    return F.when(bare != "", bare)
+
+
 def newline(text: Column) -> Column:
     return F.when(text.contains("\r\n"), F.lit("\r\n")).otherwise(F.lit("\n"))
 

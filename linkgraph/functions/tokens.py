@@ -1,5 +1,8 @@
 """Markdown links, anchors and code spans as Column functions over whole documents.
 
+Spans of code and blocks are native expressions, which most documents leave at a first test;
+links and comments, which most documents have, are found by one scan outside the JVM.
+
 Offsets count code points, ends are exclusive.  Links are matched on the raw text and then
 dropped by where they start; text is never masked first.
 """
@@ -7,15 +10,15 @@ dropped by where they start; text is never masked first.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkgraph.functions.nested import scanner
 from linkgraph.functions.paths import BLANK
+from linkgraph.functions.scan import Pattern, scanner
 
-# Fixed patterns of the format.  Runs that can't be given back are possessive, so that a long
-# href doesn't exhaust the stack of the regular expression engine.
+# Fixed patterns of the format.  Runs that can't be given back are possessive.
 UUID = "[0-9a-fA-F-]{36}"
 _HREF = rf"(?:(?:[^(){BLANK}]++|\((?:[^(){BLANK}]++|\([^(){BLANK}]*+\))*+\))++|[^)]+)"
 _LINK = rf"\[([^\]]*)\]\(({_HREF})\)"
@@ -30,8 +33,13 @@ _LINE = rf"[^{_BREAK}]*(?:\r\n|[{_BREAK}])|[^{_BREAK}]+"
 _TICKS = r"(?s)(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
 
 SPANS = "array<struct<s:int,e:int>>"
-#: A document with more opening parentheses than this in one word goes to the plain scanner.
-MOST_PARENTHESES = 200
+#: What scans find, by name; %s in a pattern is the prefix of opt-out markers.
+KINDS = {
+    "robust": Pattern(ROBUST, {"text": 1, "href": 2, "attrs": 3, "uuid": 4}, "uuid:"),
+    "links": Pattern(PLAIN, {"text": 1, "href": 2, "attrs": 3, "tail": 4, "uuid": 5}, "]("),
+    "comments": Pattern(_COMMENT, {"uuid": 1}, "uuid:"),
+    "web": Pattern(WEB, {"text": 1, "href": 2, "tail": 3, "uuid": 4, "exempt": 5}, "http"),
+}
 
 
 def none(kind: str) -> Column:
@@ -116,38 +124,31 @@ def carries_marker(text: Column, marker: str, code: Column) -> Column:
     return F.when(text.contains(marker), F.exists(hits, lambda m: ~inside(m["s"], code))).otherwise(F.lit(False))
 
 
-def links_of(text: Column, hard: Column | None, pattern: str, /, **groups: int) -> Column:
-    """scanned for a pattern of links; hard documents (see too_nested) go through the scanner outside the JVM."""
-    native = scanned(text, pattern, **groups)
-    hard = too_nested(text) if hard is None else hard
-    return F.when(hard, scanner(pattern, groups)(F.when(hard, text))).when(text.contains("]("), native).otherwise(F.filter(native, lambda m: F.lit(False)))
-
-
-def robust_links(text: Column, spans: Column, hard: Column | None = None) -> Column:
-    """Links with a uuid comment, outside spans."""
-    return F.filter(links_of(text, hard, ROBUST, text=1, href=2, attrs=3, uuid=4), lambda m: ~inside(m["s"], spans))
+def scan(text: Column, kinds: tuple[str, ...] = tuple(KINDS), prefix: str = "linkgraph") -> Column:
+    """struct with the matches of each of KINDS that is asked for, wherever they stand."""
+    return scanner({k: replace(KINDS[k], pattern=KINDS[k].pattern.replace("%s", re.escape(prefix))) for k in kinds})(text)
 
 
-def all_links(text: Column, hard: Column | None = None) -> Column:
-    """Inline links, each with the attributes and uuid comment that follow it, if any."""
-    return links_of(text, hard, PLAIN, text=1, href=2, attrs=3, tail=4, uuid=5)
+def robust_links(found: Column, spans: Column) -> Column:
+    """From scan: links with a uuid comment, outside spans."""
+    return F.filter(found["robust"], lambda m: ~inside(m["s"], spans))
 
 
-def plain_links(links: Column, spans: Column) -> Column:
-    """Of all_links, those without a uuid comment, outside spans."""
-    return F.filter(links, lambda m: (m["tail"] == "") & ~inside(m["s"], spans))
+def plain_links(found: Column, spans: Column) -> Column:
+    """From scan: links without a uuid comment, outside spans."""
+    return F.filter(found["links"], lambda m: (m["tail"] == "") & ~inside(m["s"], spans))
 
 
-def detached_anchors(text: Column, links: Column, spans: Column) -> Column:
-    """uuid comments that follow no link, outside spans; gap: the blanks before them on their line."""
-    attached = F.transform(F.filter(links, lambda m: m["tail"] != ""), lambda m: m["e"] + F.char_length(m["attrs"]) + F.char_length(m["tail"]))
-    found = F.filter(scanned(text, _COMMENT, uuid=1), lambda m: ~F.array_contains(attached, m["e"]) & ~inside(m["s"], spans))
-    return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["line"].alias("line"), F.lower(m["uuid"]).alias("uuid"), F.char_length(F.regexp_extract(m["before"], r"[ \t]*$", 0)).alias("gap")))
+def detached_anchors(found: Column, spans: Column) -> Column:
+    """From scan: uuid comments that follow no link, outside spans; gap: the blanks before them on their line."""
+    attached = F.transform(F.filter(found["links"], lambda m: m["tail"] != ""), lambda m: m["e"] + F.char_length(m["attrs"]) + F.char_length(m["tail"]))
+    strays = F.filter(found["comments"], lambda m: ~F.array_contains(attached, m["e"]) & ~inside(m["s"], spans))
+    return F.transform(strays, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["line"].alias("line"), F.lower(m["uuid"]).alias("uuid"), m["gap"].alias("gap")))
 
 
-def web_links(text: Column, spans: Column, prefix: str, hard: Column | None = None) -> Column:
-    found = links_of(text, hard, WEB % re.escape(prefix), text=1, href=2, tail=3, uuid=4, exempt=5)
-    return F.filter(found, lambda m: F.lower(m["href"]).rlike(rf"^[{BLANK}]*https?://") & ~inside(m["s"], spans))
+def web_links(found: Column, spans: Column) -> Column:
+    """From scan: links to the web, outside spans, with what may follow them."""
+    return F.filter(found["web"], lambda m: F.lower(m["href"]).rlike(rf"^[{BLANK}]*https?://") & ~inside(m["s"], spans))
 
 
 def robust_link(text: Column, href: Column, uuid: Column, attrs: Column) -> Column:
@@ -156,9 +157,3 @@ def robust_link(text: Column, href: Column, uuid: Column, attrs: Column) -> Colu
 
 def web_anchor(text: Column, href: Column, uuid: Column) -> Column:
     return F.concat(F.lit("["), text, F.lit("]("), href, F.lit(") <!-- web-uuid: "), uuid, F.lit(" -->"))
-
-
-def too_nested(text: Column) -> Column:
-    """Whether a word holds so many parentheses that the native patterns could exhaust the stack."""
-    opens = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("(")))
-    return F.when(opens(text) > MOST_PARENTHESES, F.exists(F.split(text, f"[{BLANK}]+"), lambda w: opens(w) > MOST_PARENTHESES)).otherwise(F.lit(False))

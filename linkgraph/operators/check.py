@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from linkgraph.operators import documents, repair, robustify
 from linkgraph.operators.documents import Options, Tree
+from linkgraph.plans.cut import cut
 
 #: Kinds that make a tree unsound, and kinds that make it less strict than it could be.
 BROKEN = ("repair", "conflict", "unresolvable", "ambiguous", "invalid_frontmatter")
-LOOSE = ("robustify", "no_frontmatter", "create_readme", "target_uuid_write", "target_write_refused")
+LOOSE = ("robustify", "invalid_frontmatter")
 
 
 @dataclass(frozen=True)
@@ -27,19 +28,19 @@ class Check:
     def verdict(self) -> DataFrame:
         """broken, loose, code: 2 if anything is broken, 3 if anything is loose, else 0."""
         broken = F.count_if((F.col("axis") == "integrity") & F.col("kind").isin(*BROKEN))
-        loose = F.count_if((F.col("axis") == "strict") & F.col("kind").isin(*LOOSE, "invalid_frontmatter"))
+        loose = F.count_if((F.col("axis") == "strict") & F.col("kind").isin(*LOOSE))
         return self.findings.agg(broken.alias("broken"), loose.alias("loose")).withColumn("code", F.when(F.col("broken") > 0, 2).when(F.col("loose") > 0, 3).otherwise(0))
 
     def report(self) -> DataFrame:
-        """axis, finding: each finding as JSON, in the order of axis, path, start and kind."""
-        row = F.to_json(F.struct("path", "start", "kind", "line", "href", "detail"))
-        return self.findings.orderBy("axis", "path", "start", "kind").select("axis", row.alias("finding"))
+        """axis, finding: each finding as JSON."""
+        row = F.to_json(F.struct("kind", "path", "line", "href", "detail"))
+        return self.findings.select("axis", row.alias("finding"))
 
 
 def check(tree: Tree, options: Options = Options(), scope: DataFrame | None = None) -> Check:
     """Repair and robustify over the same prepared documents; nothing is written and no frontmatter created."""
-    docs = documents.prepared(tree, options)
+    docs = cut(documents.prepared(tree, options, ("robust", "plain", "strays")))
     one, two = repair.plan(tree, options, scope, docs), robustify.plan(tree, options, scope, docs)
     invalid = documents.scoped(documents.invalid_documents(docs), scope).where("scoped")
-    found = one.findings.unionByName(two.findings).unionByName(documents.findings(invalid, "integrity", "invalid_frontmatter", F.lit("its frontmatter is no valid YAML")))
+    found = one.findings.unionByName(two.findings).unionByName(documents.findings(invalid, "integrity", "invalid_frontmatter", F.lit(documents.INVALID)))
     return Check(found, one, two)

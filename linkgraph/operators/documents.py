@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ class Options:
     deny_globs: names of files that never get a uuid.
     marker_prefix: what the names of the opt-out markers begin with, as in ``<!-- PREFIX-ignore-file -->``.
     root_name: the name of the root directory, for a README made there.
-    mint_seed: from it and a path comes the uuid that a document is given, so that every evaluation gives the same.
+    mint_seed: from it and a path comes the uuid that a document is given, so that every evaluation of a plan gives the same; without one, each plan draws its own, so that no two plans give the same uuid.
     """
 
     excludes: tuple[str, ...] = ()
@@ -32,31 +34,40 @@ class Options:
     allow_target_writes: bool = True
     marker_prefix: str = "linkgraph"
     root_name: str = "root"
-    mint_seed: str = ""
+    mint_seed: str | None = None
 
     @property
     def all_excludes(self) -> tuple[str, ...]:
         return (*paths.DEFAULT_EXCLUDES, *self.excludes)
 
+    def seeded(self) -> Options:
+        return self if self.mint_seed is not None else replace(self, mint_seed=uuid4().hex)
+
 
 @dataclass(frozen=True)
 class Tree:
-    """docs (path, content) and entries (path, type: file or dir) under one root.
+    """docs (path, content) and listing (path, type: file or dir) under one root.
 
     probe: adds the type of paths that entries can't know, as those outside the root: takes and
-    returns (path), (path, type).
+    returns (path), (path, type).  outside: links (path) whose targets lie outside the root, which
+    are no documents.
     """
 
     docs: DataFrame
-    entries: DataFrame
+    listing: DataFrame
     probe: Callable[[DataFrame], DataFrame] | None = None
+    outside: DataFrame | None = None
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """listing, materialised when it is first asked for: every lookup of a target reads it."""
+        return cut(self.listing)
 
     @classmethod
     def of(cls, docs: DataFrame, more: DataFrame | None = None, options: Options = Options()) -> Tree:
         """From any table with path and content; entries are its files with their directories, and more.
 
-        Rows in excluded directories are entries but no documents.  entries are materialised,
-        for every lookup of a target reads them.
+        Rows in excluded directories are entries but no documents.
         """
         files = docs.select("path", F.lit("file").alias("type"))
         if more is not None:
@@ -64,17 +75,17 @@ class Tree:
         parts = F.split("path", "/")
         above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
         dirs = files.select(F.explode(F.concat(F.array(F.lit(".")), above)).alias("path")).select("path", F.lit("dir").alias("type"))
-        entries = cut(files.unionByName(dirs).groupBy("path").agg(F.max("type").alias("type")))
+        listing = files.unionByName(dirs).groupBy("path").agg(F.max("type").alias("type"))
         kept = docs.where(F.lower("path").endswith(".md") & ~paths.within_excluded(paths.parent(F.col("path")), options.all_excludes))
-        return cls(kept, entries)
+        return cls(kept, listing)
 
 
-def prepared(tree: Tree, options: Options) -> DataFrame:
-    """What one pass over the contents finds, without the contents; materialised, for all analyses read it.
+def prepared(tree: Tree, options: Options, kinds: tuple[str, ...] = ("robust", "plain", "strays", "web")) -> DataFrame:
+    """What one pass over the contents finds, without the contents; a plan, of which only the columns that are read are computed.
 
     path; ignored and link_ignored (opt-outs); fm_status, fm_uuid, has_block, head (characters of
-    the frontmatter's first line), newline; robust, plain, strays and web, the links and anchors
-    outside code and generated blocks, as arrays.  Documents with null content are left out.
+    the frontmatter's first line), newline; and of kinds, links and anchors outside code and
+    generated blocks, as arrays.  Documents with null content are left out.
     """
     text, code = F.col("content"), F.col("code")
     docs = tree.docs.select("path", "content").where("content IS NOT NULL")
@@ -84,16 +95,18 @@ def prepared(tree: Tree, options: Options) -> DataFrame:
     docs = docs.withColumn("spans", F.concat(tokens.block_spans(text, options.ignore_blocks), code))
     docs = docs.withColumn("ignored", tokens.carries_marker(text, f"{options.marker_prefix}-ignore-file", code))
     docs = docs.withColumn("link_ignored", ~F.col("ignored") & tokens.carries_marker(text, f"{options.marker_prefix}-ignore-links", code))
-    docs = docs.withColumn("fm", frontmatter.read_uuid(text)).withColumn("hard", tokens.too_nested(text))
-    docs = docs.withColumn("links", tokens.all_links(text, F.col("hard")))
-    own, spans = ~F.col("ignored") & ~F.col("link_ignored"), F.col("spans")
-    kept = lambda found: F.when(own, found).otherwise(F.filter(found, lambda m: F.lit(False)))
-    return cut(docs.select(
+    docs = docs.withColumn("fm", frontmatter.read_uuid(text))
+    own, spans, found = ~F.col("ignored") & ~F.col("link_ignored"), F.col("spans"), F.col("found")
+    scans = {"robust": ("robust",), "plain": ("links",), "strays": ("links", "comments"), "web": ("web",)}
+    if kinds:
+        docs = docs.withColumn("found", tokens.scan(text, tuple(dict.fromkeys(x for k in kinds for x in scans[k])), options.marker_prefix))
+    kept = lambda links: F.when(own, links).otherwise(F.filter(links, lambda m: F.lit(False)))
+    make = {"robust": lambda: kept(tokens.robust_links(found, spans)), "plain": lambda: kept(tokens.plain_links(found, spans)), "strays": lambda: kept(tokens.detached_anchors(found, spans)), "web": lambda: tokens.web_links(found, spans)}
+    return docs.select(
         "path", "ignored", "link_ignored", F.col("fm.status").alias("fm_status"), F.col("fm.uuid").alias("fm_uuid"),
         frontmatter.has_frontmatter(text).alias("has_block"), frontmatter.head_length(text).alias("head"), frontmatter.newline(text).alias("newline"),
-        kept(tokens.robust_links(text, spans, F.col("hard"))).alias("robust"), kept(tokens.plain_links(F.col("links"), spans)).alias("plain"),
-        kept(tokens.detached_anchors(text, F.col("links"), spans)).alias("strays"), tokens.web_links(text, spans, options.marker_prefix, F.col("hard")).alias("web"),
-    ))
+        *(make[k]().alias(k) for k in kinds),
+    )
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -107,7 +120,12 @@ def uuid_index(docs: DataFrame) -> DataFrame:
 
 def duplicate_uuids(docs: DataFrame) -> DataFrame:
     """uuid, path of every document that shares its uuid, a row each: a group may be of any size."""
-    return _identified(docs).join(uuid_index(docs).where("n > 1").select("uuid"), "uuid", "left_semi")
+    own = cut(_identified(docs))
+    return own.join(own.groupBy("uuid").count().where("count > 1").select("uuid"), "uuid", "left_semi")
+
+
+#: What findings say of a document whose frontmatter can't be read.
+INVALID = "its frontmatter is no valid YAML"
 
 
 def invalid_documents(docs: DataFrame) -> DataFrame:
@@ -115,11 +133,7 @@ def invalid_documents(docs: DataFrame) -> DataFrame:
 
 
 def with_type(rows: DataFrame, column: str, out: str, tree: Tree) -> DataFrame:
-    """rows with the type of the entry at column, null if there is none.
-
-    Many links name the same target: distinct targets are looked up, and the hot ones of a
-    skewed join are left to adaptive execution.
-    """
+    """rows with the type of the entry at column, null if there is none; hot targets are left to adaptive execution."""
     known = tree.entries.select(F.col("path").alias("_path"), F.col("type").alias(out))
     if tree.probe is not None:
         outside = rows.where(F.col(column).startswith("..") | F.col(column).startswith("/")).select(F.col(column).alias("path")).distinct()
@@ -127,6 +141,18 @@ def with_type(rows: DataFrame, column: str, out: str, tree: Tree) -> DataFrame:
     return rows.join(known, F.col(column) == F.col("_path"), "left").drop("_path")
 
 
+def with_types(rows: DataFrame, keys: tuple[str, ...], wanted: dict[str, str], tree: Tree) -> DataFrame:
+    """rows, which keys tell apart, with the types of the entries at several columns (column: out).
+
+    One lookup for all of them, of the targets that aren't null only.
+    """
+    each = F.array(*(F.struct(F.lit(out).alias("out"), F.col(column).alias("at")) for column, out in wanted.items()))
+    asked = rows.select(*keys, F.explode(F.filter(each, lambda x: x["at"].isNotNull())).alias("x")).select(*keys, "x.out", "x.at")
+    found = with_type(asked, "at", "type", tree).where("type IS NOT NULL")
+    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("out") == out, F.col("type"))).alias(out) for out in wanted.values()))
+    return rows.join(found, list(keys), "left")
+
+
 def scoped(rows: DataFrame, scope: DataFrame | None, out: str = "scoped", column: str = "path") -> DataFrame:
     """rows with whether the path is in scope (path); everything is without a scope."""
     if scope is None:

@@ -6,14 +6,18 @@ import json
 import os
 import re
 import subprocess
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 
-from linkgraph.operators import check, gate, robustify, web
+from linkgraph.operators import check, documents, gate, robustify, web
 from linkgraph.operators.documents import Options, Tree
+from linkgraph.plans.cut import cut
 
-_ORIGIN = re.compile(r"(?:(?:https?|ssh)://(?:[^/@]*@)?(?:www\.|ssh\.)?github\.com(?::\d+)?/|(?:[^/@]*@)?github\.com:)([^/]+)/", re.IGNORECASE | re.ASCII)
+#: Schemes and hosts of the remotes whose owners are told.
+_SCHEMES, _HOST, _OTHER_HOSTS = ("http", "https", "ssh"), "github.com", ("www.github.com", "ssh.github.com")
 _RUNGS = {"added_lines": "added-lines", "all": "repo", "on": "repo", "true": "repo", "yes": "repo", "1": "repo"}
 
 
@@ -68,68 +72,100 @@ class GateConfig:
 
 
 def owner_of(url: str) -> str | None:
-    """The owner in the address of a remote repository, in its http, ssh and scp-like forms."""
-    found = _ORIGIN.match(url.strip())
-    return found[1] if found else None
+    """The owner in the address of a remote repository: scheme://host/owner/name, or user@host:owner/name."""
+    url = url.strip()
+    if "://" in url:
+        try:
+            parts = urlsplit(url)
+            known = parts.scheme in _SCHEMES and parts.hostname in (_HOST, *_OTHER_HOSTS) and (parts.port is not None or not parts.netloc.endswith(":"))
+        except ValueError:
+            return None
+        place = parts.path.removeprefix("/")
+    else:
+        server, _, place = url.partition(":")
+        user, _, host = server.rpartition("@")
+        known = host.lower() == _HOST and not set(user) & set("/@")
+    owner, slash, _ = place.partition("/")
+    return owner if known and url.isascii() and owner and slash else None
 
 
 def origin_owner(root: str) -> str | None:
-    """The owner of the remote named origin; whatever git has in the environment is left out."""
-    env = {k: v for k, v in os.environ.items() if not k.startswith("GIT_")}
+    """The owner of the remote named origin of the repository at root, whichever one a hook that runs this is about."""
+    outer = [x for x in os.environ if x.startswith("GIT_")]
     try:
-        out = subprocess.run(["git", "-C", root, "config", "--get", "remote.origin.url"], capture_output=True, text=True, timeout=10, env=env)
+        url = subprocess.check_output(["env", *(f"--unset={x}" for x in outer), "git", "config", "remote.origin.url"], cwd=root, stderr=subprocess.DEVNULL, timeout=30)
     except (OSError, subprocess.SubprocessError):
         return None
-    return owner_of(out.stdout) if out.returncode == 0 else None
+    return owner_of(url.decode("utf-8", "replace"))
 
 
 @dataclass(frozen=True)
 class Verdict:
-    """code: 0 clean, 1 create-readme or dangling or what only mode max asks for, 2 broken, 3 loose, 4 web problems. counts: by axis."""
+    """code: 0 clean, 1 create-readme or dangling or what only mode max asks for, 2 broken, 3 loose, 4 web problems or a gate that must not be skipped and can't run. counts: by axis."""
 
     code: int
     counts: dict[str, int]
     notes: tuple[str, ...]
 
 
-def run(tree: Tree, config: GateConfig, staged: DataFrame | None = None, hunks: DataFrame | None = None, fetches: DataFrame | None = None, options: Options = Options()) -> Verdict:
-    """staged (path) and hunks (path, start_line, n_lines) belong to the scope staged; fetches to the web axis, of mode max only.
+def skipped(config: GateConfig, why: str) -> Verdict:
+    """What a gate says that can't judge: it lets the change pass, unless it is to fail closed."""
+    return Verdict(4 if config.fail_closed else 0, {}, (f"not judged: {why}",))
 
-    Every pass only plans; only counts come to the driver.
+
+def run(
+    tree: Tree, config: GateConfig, staged: DataFrame | None = None, hunks: DataFrame | None = None, fetches: DataFrame | Callable[[DataFrame], DataFrame] | None = None, options: Options = Options(), root: str | None = None, have_token: bool = False
+) -> Verdict:
+    """staged (path) and hunks (path, start_line, n_lines) belong to the scope staged; fetches, or what makes them of web links, to the web axis.
+
+    Mode max is more than check in the scope repo only; the web axis is a part of it, of clean trees.  root: the directory whose origin tells an
+    owner, if the configuration asks for that.  Every pass only plans; only counts come to the driver.
     """
     if config.mode not in gate.MODES or config.scope not in ("repo", "staged"):
         raise ValueError("mode is one of repair, check, max; scope is repo or staged")
     if config.scope == "staged" and staged is None:
-        raise ValueError("the scope staged needs the staged files")
-    options = config.options(options)
+        return skipped(config, "the scope staged needs the staged files")
+    owners = config.own_web
+    if config.web and config.own_web_from_origin:
+        own = origin_owner(root) if root else None
+        if own is None:
+            return skipped(config, "the owner of origin can't be told")
+        owners = (*owners, own)
+    options = config.options(options).seeded()
     narrowed = (lambda rows: gate.staged(rows, staged)) if config.scope == "staged" else lambda rows: rows
     found = check.check(tree, options)
-    all_findings = narrowed(found.findings).cache()
+    all_findings = cut(narrowed(found.findings))
     counts = {x.axis + ":" + x.kind: x["count"] for x in all_findings.groupBy("axis", "kind").count().collect()}
     of = lambda axis, kinds: sum(n for k, n in counts.items() if k.split(":")[0] == axis and k.split(":")[1] in kinds)
-    broken, loose = of("integrity", check.BROKEN), of("strict", (*check.LOOSE, "invalid_frontmatter"))
+    broken, loose = of("integrity", check.BROKEN), of("strict", check.LOOSE)
     code = 2 if broken else 3 if loose and config.mode != "repair" else 0
     out, notes = {"broken": broken, "loose": loose}, []
-    if config.mode == "max":
+    if config.mode == "max" and config.scope == "repo":
         more = robustify.plan(tree, replace(options, create_frontmatter=True)).findings
         out["max"] = narrowed(more).where("kind = 'robustify'").count()
         code = code or int(out["max"] > 0)
-        if config.web and fetches is not None and not code:
-            checked = web.check(tree, fetches, options, config.own_web)
-            verdict = checked.verdict(config.own_web_max).first()
+        if config.web and fetches is None:
+            notes.append("web links are not judged: nothing fetches them")
+            code = code or (4 if config.fail_closed else 0)
+        elif config.web and not code:
+            got = fetches(web.web_links(documents.prepared(tree, options, ("web",)))) if callable(fetches) else fetches
+            verdict = web.check(tree, got, options, owners, have_token).verdict(config.own_web_max).first()
             out |= {"web_anchors": verdict.anchors, "web_problems": verdict.problems, "web_own": verdict.own}
             code = verdict.code
+            if config.own_web_max is not None and verdict.own < config.own_web_max:
+                notes.append(f"{verdict.own} owned files without a uuid are fewer than the budget of {config.own_web_max}; lower it")
     if config.create_readme:
         made = robustify.plan(tree, replace(options, create_readme=True, excludes=(*options.excludes, *config.create_readme_excludes)))
         out["create_readme"] = made.created.count()
         code = code or int(out["create_readme"] > 0)
     if config.dangling != "off":
         added = config.dangling == "added-lines" and config.scope == "staged"
+        if added and hunks is None:
+            return skipped(config, "the rung added-lines needs hunks")
         lost = gate.dangling(all_findings, "added-lines", hunks) if added else all_findings.where("kind = 'dangling'")
         out["dangling"] = n = lost.count()
         walled, most = added or config.dangling == "repo", config.dangling_max if config.dangling == "repo" else 0
         code = code or int(walled and n > most)
         if config.dangling == "repo" and n < most:
             notes.append(f"{n} dangling links are fewer than the budget of {most}; lower it")
-    all_findings.unpersist()
     return Verdict(code, out, tuple(notes))

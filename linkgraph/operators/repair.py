@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from linkgraph.functions import paths, tokens
 from linkgraph.operators import documents, splice
 from linkgraph.operators.documents import Options, Tree
+from linkgraph.plans.cut import cut
 
 
 @dataclass(frozen=True)
 class Repair:
-    """findings; edits; suppressed (path, n): findings of documents outside the scope."""
+    """findings; edits; suppressed (path, n): findings of documents outside the scope; read: the prepared documents."""
 
     findings: DataFrame
     edits: DataFrame
     suppressed: DataFrame
     docs: DataFrame
+    read: DataFrame
 
     def rewrites(self) -> DataFrame:
         return splice.rewrites(self.docs, self.edits)
@@ -56,8 +58,8 @@ def verdicts(docs: DataFrame, tree: Tree) -> DataFrame:
 
 def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = None, docs: DataFrame | None = None) -> Repair:
     """scope: the documents (path) whose links may be rewritten and reported; all are read as targets. docs: prepared already."""
-    docs = documents.prepared(tree, options) if docs is None else docs
-    rows = documents.scoped(verdicts(docs, tree).where("kind IS NOT NULL"), scope)
+    docs = cut(documents.prepared(tree, options, ("robust",))) if docs is None else docs
+    rows = cut(documents.scoped(verdicts(docs, tree).where("kind IS NOT NULL"), scope))
     target = F.coalesce("target", F.lit(""))
     detail = (
         F.when(F.col("kind") == "ambiguous", F.concat(F.lit("several documents declare uuid "), "uuid"))
@@ -69,4 +71,4 @@ def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = Non
     silent = documents.scoped(docs.where("link_ignored").select("path"), scope).where("scoped")
     found = found.unionByName(documents.findings(silent, "integrity", "ignored_links", F.lit("its links are left as they are; it is still a target")))
     edits = rows.where("scoped AND kind = 'repair'").select("path", "s", "e", tokens.robust_link(F.col("text"), F.col("new_href"), F.col("uuid"), F.col("attrs")).alias("r"))
-    return Repair(found, edits, rows.where("NOT scoped").groupBy("path").agg(F.count("*").alias("n")), tree.docs)
+    return Repair(found, edits, rows.where("NOT scoped").groupBy("path").agg(F.count("*").alias("n")), tree.docs, docs)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkgraph.functions import frontmatter, paths, tokens
 from linkgraph.operators import documents, splice
 from linkgraph.operators.documents import Options, Tree
+from linkgraph.plans.cut import cut
 
 #: Shown in place of a uuid that a plan would give out.
 NEW = "(new uuid)"
@@ -17,7 +18,7 @@ NEW = "(new uuid)"
 
 @dataclass(frozen=True)
 class Robustify:
-    """findings; edits; created (path, new_content); decisions (target, outcome, uuid); suppressed (path, n)."""
+    """findings; edits; created (path, new_content); decisions (target, outcome, uuid); suppressed (path, n); read: the prepared documents."""
 
     findings: DataFrame
     edits: DataFrame
@@ -25,6 +26,7 @@ class Robustify:
     decisions: DataFrame
     suppressed: DataFrame
     docs: DataFrame
+    read: DataFrame
 
     def rewrites(self) -> DataFrame:
         return splice.rewrites(self.docs, self.edits).unionByName(self.created)
@@ -43,7 +45,7 @@ def detached(docs: DataFrame) -> DataFrame:
 
 
 def minted(seed: str, path: Column) -> Column:
-    """A uuid of version 4's form, the same for the same seed and path."""
+    """A uuid of version 4's form, the same for the same seed and path; see Options.mint_seed."""
     h = F.sha2(F.concat(F.lit(seed + "\0"), path), 256)
     part = lambda a, n: F.substring(h, a, n)
     variant = F.substring(F.lit("89ab"), (F.ascii(part(17, 1)) % 4 + 1).cast("int"), F.lit(1))
@@ -60,16 +62,15 @@ def located(links: DataFrame, tree: Tree) -> DataFrame:
     base = F.concat(paths.parent(F.col("path")), F.lit("/"))
     rows = rows.withColumn("d", F.when(F.col("local") & F.col("encoded") & paths.is_local_relative(decoded), paths.normalised(F.concat(base, paths.path_part(decoded)))))
     rows = rows.withColumn("readme", F.when(F.col("local") & F.col("of_dir"), F.when(F.col("t") == ".", F.lit(paths.ANCHOR_NAME)).otherwise(F.concat("t", F.lit("/" + paths.ANCHOR_NAME)))))
-    for column, out in (("t", "t_type"), ("readme", "readme_type"), ("d", "d_type")):
-        rows = documents.with_type(rows, column, out, tree)
-    return rows
+    return documents.with_types(cut(rows), ("path", "s"), {"t": "t_type", "readme": "readme_type", "d": "d_type"}, tree)
 
 
 def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = None, docs: DataFrame | None = None) -> Robustify:
     """scope: the documents (path) whose links may be rewritten and reported; all are read as targets. docs: prepared already."""
-    docs = documents.prepared(tree, options) if docs is None else docs
-    links = documents.scoped(located(plain_links(docs), tree), scope)
-    planned = _planned_readmes(links, docs, options, scope)
+    options = options.seeded()
+    docs = cut(documents.prepared(tree, options, ("plain", "strays"))) if docs is None else docs
+    links = cut(documents.scoped(located(plain_links(docs), tree), scope))
+    planned = cut(_planned_readmes(links, docs, tree, options, scope))
     links = links.join(planned.select(F.col("readme").alias("_new")), F.col("readme") == F.col("_new"), "left")
     file = ~F.col("of_dir") & (F.col("t_type") == "file") & F.lower("t").endswith(".md")
     folder = F.col("of_dir") & (F.col("t_type") == "dir") & ((F.col("readme_type") == "file") | F.col("_new").isNotNull())
@@ -92,7 +93,7 @@ def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = Non
     found = found.unionByName(own(lost, "dangling", "dangling", F.concat("href", F.lit(" names "), F.when(F.col("encoded"), F.col("d")).otherwise(F.col("t")), F.lit(", which isn't there")), **where))
     absolute = paths.is_absolute_local(paths.path_part(F.col("href"))) | paths.is_absolute_local(F.col("decoded"))
     found = found.unionByName(own(links.where("scoped AND target IS NULL").where(absolute), "absolute_local_path", "absolute_local_path", F.concat("href", F.lit(" is an absolute path: "), "decoded"), **where))
-    found = found.unionByName(own(decisions.where("outcome = 'invalid_frontmatter'").withColumnRenamed("target", "path"), "strict", "invalid_frontmatter", F.lit("its frontmatter is no valid YAML")))
+    found = found.unionByName(own(decisions.where("outcome = 'invalid_frontmatter'").withColumnRenamed("target", "path"), "strict", "invalid_frontmatter", F.lit(documents.INVALID)))
     silent = documents.scoped(docs.where("link_ignored").select("path"), scope).where("scoped")
     found = found.unionByName(own(silent, "strict", "ignored_links", F.lit("its links are left as they are; it is still a target")))
     created = planned.select(F.col("readme").alias("path"), F.concat(F.lit("---\nuuid: "), "uuid", F.lit("\n---\n\n# "), "name", F.lit("\n")).alias("new_content"))
@@ -105,18 +106,22 @@ def plan(tree: Tree, options: Options = Options(), scope: DataFrame | None = Non
         found = found.unionByName(own(outside, "strict", "target_uuid_write", F.lit("gets a uuid outside the scope, so that a link can be anchored")))
     known = docs.where("NOT ignored AND fm_status = 'valid' AND fm_uuid IS NOT NULL").select(F.col("path").alias("target"))
     suppressed = wanted.where("NOT scoped").join(known, "target", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
-    return Robustify(found, edits, created, decisions, suppressed, tree.docs)
+    return Robustify(found, edits, created, decisions, suppressed, tree.docs, docs)
 
 
-def _planned_readmes(links: DataFrame, docs: DataFrame, options: Options, scope: DataFrame | None) -> DataFrame:
-    """readme, uuid, name of the READMEs to be made: one for each directory that a link names and that has none."""
+def _planned_readmes(links: DataFrame, docs: DataFrame, tree: Tree, options: Options, scope: DataFrame | None) -> DataFrame:
+    """readme, uuid, name of the READMEs to be made: one for each directory that a link names and that has none.
+
+    None in a directory with a document that opted out or can't be decoded: it holds foreign content.
+    """
     missing = links.where("scoped AND local AND of_dir AND t_type = 'dir' AND readme_type IS NULL").where(~F.col("t").startswith("..") & ~F.col("t").startswith("/"))
     if not options.create_readme:
         missing = missing.where("false")
     missing = missing.where(~paths.within_excluded(F.col("t"), options.all_excludes)).select("t", "readme").distinct()
     if options.deny_globs:
         missing = missing.where(~paths.matches_any(F.lit(paths.ANCHOR_NAME), options.deny_globs))
-    external = docs.where("ignored").select(paths.parent(F.col("path")).alias("t")).distinct()
+    foreign = docs.where("ignored").select("path").unionByName(tree.docs.where("content IS NULL").select("path"))
+    external = foreign.select(paths.parent(F.col("path")).alias("t")).distinct()
     missing = documents.scoped(missing.join(external, "t", "left_anti"), scope, "wanted", "readme").where("wanted")
     name = F.when(F.col("t") == ".", F.lit(options.root_name)).otherwise(paths.basename(F.col("t")))
     return missing.select("readme", minted(options.mint_seed, F.col("readme")).alias("uuid"), name.alias("name"))

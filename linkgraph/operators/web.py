@@ -6,11 +6,13 @@ network error, -2 for a repository that can't be read, -3 for an address that ca
 
 from __future__ import annotations
 
+import http.client
+import os
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from linkgraph.functions import frontmatter, paths, tokens
 from linkgraph.operators import documents, splice
 from linkgraph.operators.documents import Options, Tree
+from linkgraph.plans.cut import cut
 
 # Fixed patterns of addresses.
 _BLOB = r"^https?://(?:www\.)?github\.com/([^/]+)/([^/]+)/(?:blob|raw)/([^/]+)/([^#?]+)"
@@ -27,6 +30,9 @@ _UNSENDABLE = r"[\x00-\x20\x7f]"
 _COMMIT = "^[0-9a-fA-F]{7,40}$"
 #: Seconds of a request; attempts of a fetch; statuses that are worth another attempt.
 TIMEOUT, ATTEMPTS, TRANSIENT = 15, 3, frozenset({404, 429, 500, 502, 503, 504, -1})
+#: Names of environment variables: attempts of a fetch, and the token of the command line.
+ATTEMPTS_VARIABLE, TOKEN_VARIABLE = "LINKGRAPH_WEB_ATTEMPTS", "GITHUB_TOKEN"
+_API, _RAW, _AGENT = "https://api.github.com/repos", "application/vnd.github.raw", "linkgraph"
 PROBLEMS = ("web_mismatch", "web_not_found")
 
 
@@ -69,7 +75,7 @@ class WebCheck:
 
 def check(tree: Tree, fetches: DataFrame, options: Options = Options(), owners: tuple[str, ...] = (), have_token: bool = False) -> WebCheck:
     """fetches: href, status, body; links without a fetch count as network errors."""
-    docs = documents.prepared(tree, options)
+    docs = documents.prepared(tree, options, ("web",))
     got = fetches.select("href", "status", "body").dropDuplicates(["href"]).withColumn("fm", frontmatter.read_uuid(F.coalesce("body", F.lit(""))))
     got = got.select("href", "status", F.col("fm.status").alias("dest_status"), F.col("fm.uuid").alias("dest_uuid"))
     rows = web_links(docs).withColumn("url", parsed_url(F.col("href"))).join(got, "href", "left").withColumn("status", F.coalesce("status", F.lit(-1)))
@@ -90,27 +96,54 @@ def check(tree: Tree, fetches: DataFrame, options: Options = Options(), owners:
         .otherwise("web_ok")
     )
     helps = F.col("status").isin(401, 403, 404) & F.col("url").isNotNull() & F.lit(not have_token)
-    rows = rows.withColumn("kind", kind).withColumn("token_would_help", helps)
+    # Findings, verdict and edits all read them.
+    rows = cut(rows.withColumn("kind", kind).withColumn("token_would_help", helps))
     detail = F.concat(F.lit("status "), F.col("status").cast("string"), F.lit(", declares "), F.coalesce("dest_uuid", F.lit("no uuid")))
-    found = rows.select("path", "line", "href", "kind", "uuid", "token_would_help", detail.alias("detail"), F.col("s").alias("start"))
+    found = rows.select("path", "line", "href", "kind", "uuid", F.when(F.col("kind") == "web_anchor", F.col("dest_uuid")).alias("anchored"), "token_would_help", detail.alias("detail"), F.col("s").alias("start"))
     edits = rows.where("kind = 'web_anchor' AND NOT filtered").select("path", "s", "e", tokens.web_anchor(F.col("text"), F.col("href"), F.col("dest_uuid")).alias("r"))
     return WebCheck(found, edits, tree.docs)
 
 
-def fetch_once(owner: str, repo: str, ref: str, path: str, token: str | None) -> tuple[int, str | None]:
-    """The file's text through the public contents interface."""
-    quoted = [urllib.parse.quote(x.replace("%25", "%"), safe="/") for x in (owner, repo, path)]
-    url = f"https://api.github.com/repos/{quoted[0]}/{quoted[1]}/contents/{quoted[2]}?ref={urllib.parse.quote(ref, safe='')}"
-    request = urllib.request.Request(url, headers={"Accept": "application/vnd.github.raw"} | ({"Authorization": f"Bearer {token}"} if token else {}))
+def _quoted(part: Column, kept: str = "") -> Column:
+    """Percent-encoded as UTF-8, but for kept and percent signs: what is encoded already stays as it is."""
+    form = F.url_encode(part)
+    # url_encode is made for forms: it writes a space as +, keeps *, and encodes ~.
+    for code, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%25", "%"), *((f"%{ord(x):02X}", x) for x in kept)):
+        form = F.replace(form, F.lit(code), F.lit(plain))
+    return form
+
+
+def contents_url(url: Column) -> Column:
+    """The address of a file (struct of parsed_url) in the public contents interface."""
+    return F.concat(F.lit(f"{_API}/"), _quoted(url["owner"]), F.lit("/"), _quoted(url["repo"]), F.lit("/contents/"), _quoted(url["path"], "/"), F.lit("?ref="), _quoted(url["ref"]))
+
+
+def repository_url(url: Column) -> Column:
+    return F.concat(F.lit(f"{_API}/"), _quoted(url["owner"]), F.lit("/"), _quoted(url["repo"]))
+
+
+def fetch_once(address: str, token: str | None = None, accept: str = _RAW, opener: Callable = urllib.request.urlopen) -> tuple[int, str | None]:
+    """Status and text of one request; -3 for an address that can't be sent, -1 for a network that fails."""
+    headers = {"Accept": accept, "User-Agent": _AGENT}
+    if token:
+        headers["Authorization"] = f"Bearer {token}"
     try:
-        with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
+        with opener(urllib.request.Request(address, headers=headers), timeout=TIMEOUT) as answer:
             return answer.status, answer.read().decode("utf-8-sig", "replace")
     except urllib.error.HTTPError as error:
         return error.code, None
-    except ValueError:
-        return -3, None
-    except OSError:
-        return -1, None
+    except Exception as error:
+        if isinstance(error, (http.client.InvalidURL, ValueError)):
+            return -3, None
+        if isinstance(error, (OSError, http.client.HTTPException)):
+            return -1, None
+        raise
+
+
+def attempts_of(environment: Mapping[str, str] = os.environ) -> int:
+    """ATTEMPTS, unless the environment names a whole number; one at least."""
+    named = environment.get(ATTEMPTS_VARIABLE, "").strip()
+    return max(1, int(named)) if named.lstrip("-").isdecimal() else ATTEMPTS
 
 
 def with_retries(once: Callable[[], tuple[int, str | None]], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str | None]:
@@ -123,13 +156,28 @@ def with_retries(once: Callable[[], tuple[int, str | None]], attempts: int = ATT
     return status, body
 
 
-def fetched(links: DataFrame, token: str | None = None, attempts: int = ATTEMPTS, once: Callable[..., tuple[int, str | None]] = fetch_once) -> DataFrame:
-    """href, status, body of each distinct web link; one fetch for each, on the executors."""
-    wanted = links.select("href", parsed_url(F.col("href")).alias("u")).where("u IS NOT NULL").select("href", "u.owner", "u.repo", "u.ref", "u.path").distinct()
+def fetched(links: DataFrame, token: str | None = None, attempts: int | None = None, once: Callable[..., tuple[int, str | None]] = fetch_once) -> DataFrame:
+    """href, status, body of each distinct web link; one fetch for each, on the executors.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With a token, a file that isn't found counts as such only if its repository can be read, which
+    is asked once for each repository; where it can't, the status is -2.
+    """
+    attempts = attempts_of() if attempts is None else attempts
+    urls = links.select("href").distinct().select("href", parsed_url(F.col("href")).alias("u")).where("u IS NOT NULL")
+    wanted = urls.select("href", contents_url(F.col("u")).alias("address"), repository_url(F.col("u")).alias("repository"))
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [with_retries(lambda x=x: once(x.owner, x.repo, x.ref, x.path, token), attempts) for x in batch.itertuples()]
-            yield pd.DataFrame({"href": batch["href"], "status": [x[0] for x in got], "body": [x[1] for x in got]})
+            got = [with_retries(lambda x=x: once(x, token), attempts) for x in batch["address"]]
+            yield pd.DataFrame({"href": batch["href"], "repository": batch["repository"], "status": [x[0] for x in got], "body": [x[1] for x in got]})
 
-    return wanted.mapInPandas(run, "href string, status int, body string")
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[once(x, token)[0] in (403, 404) for x in batch["repository"]]]
+
+    # A table of its own: no address is asked for twice.
+    rows = cut(wanted.mapInPandas(get, "href string, repository string, status int, body string"))
+    if token:
+        closed = cut(rows.where("status = 404").select("repository").distinct().mapInPandas(look, "repository string"))
+        rows = rows.join(closed.withColumn("closed", F.lit(True)), "repository", "left").withColumn("status", F.when(F.col("closed"), -2).otherwise(F.col("status")))
+    return rows.select("href", "status", "body")

@@ -15,7 +15,7 @@ from linkgraph.operators.documents import Options, Tree
 from linkgraph.plans.cut import cut
 
 #: Options of all registered queries.
-OPTIONS = Options(ignore_blocks=("toc",))
+OPTIONS = Options(ignore_blocks=("toc",), mint_seed="")
 
 
 def uuid(text: str) -> str:
@@ -113,9 +113,10 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{k: v for k, v in frames.items() if f"{{{k}}}" in sql})
 
 
-def tree(spark: SparkSession, sf_dir: str) -> Tree:
-    """Materialised: its expressions would otherwise be part of the plan of every lookup."""
-    return Tree.of(cut(query(spark, sf_dir, DOCS)), options=OPTIONS)
+def tree(spark: SparkSession, sf_dir: str, once: bool = False) -> Tree:
+    """once: the documents are read by one pass only; else they are materialised, for their expressions would be part of the plan of every lookup."""
+    docs = query(spark, sf_dir, DOCS)
+    return Tree.of(docs if once else cut(docs), options=OPTIONS)
 
 
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:

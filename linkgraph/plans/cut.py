@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the checkpoint folder that the cluster names in spark.checkpoint.dir.
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; only on one machine, where none is named, a new temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="linkgraph-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
 
-    Only where none is named, as in tests, a new temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkgraph-"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now and written to the shared folder, in columns: later plans read only those that they need."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import urllib.parse
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.functions import paths
-from linkgraph.operators import check, documents, gate, repair, robustify, web
+from linkgraph.functions import frontmatter, paths
+from linkgraph.operators import check, documents, gate, repair, robustify, splice, web
+from linkgraph.operators.documents import Tree
 from linkgraph.plans import corpus
 from linkgraph.plans.corpus import OPTIONS, C, R, anchor, named
+from linkgraph.plans.cut import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,8 +42,8 @@ def query(name: str, sql: str) -> Callable[[Query], Query]:
     return add
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.prepared(corpus.tree(spark, sf_dir), OPTIONS)
+def _docs(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return documents.prepared(corpus.tree(spark, sf_dir, once=True), OPTIONS, kinds)
 
 
 _UUIDS = f"""SELECT uuid, count(*) AS n, min(path) AS path FROM (
@@ -74,17 +78,17 @@ _PART_HREF = "CASE st WHEN 2 THEN concat('../region/', r, '/') WHEN 3 THEN '../n
 
 @query("robust_links", f"SELECT path, 3 AS line, CAST(14 + length(CAST(k AS VARCHAR)) AS INTEGER) AS start, {_ORDER_HREF} AS href, {_ORDER_UUID} AS uuid FROM o WHERE st < 8")
 def robust_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.robust_links(_docs(spark, sf_dir)).select("path", "line", F.col("s").alias("start"), "href", "uuid")
+    return repair.robust_links(_docs(spark, sf_dir, "robust")).select("path", "line", F.col("s").alias("start"), "href", "uuid")
 
 
 @query("plain_links", f"SELECT path, 3 AS line, {_ORDER_HREF} AS href FROM o WHERE st BETWEEN 8 AND 13 UNION ALL SELECT path, 2, {_PART_HREF} FROM p WHERE st >= 2")
 def plain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robustify.plain_links(_docs(spark, sf_dir)).select("path", "line", "href")
+    return robustify.plain_links(_docs(spark, sf_dir, "plain")).select("path", "line", "href")
 
 
 @query("detached_anchors", f"SELECT path, 2 AS line, {C} AS uuid, 1 AS gap FROM p WHERE st = 4")
 def detached_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robustify.detached(_docs(spark, sf_dir)).select("path", "line", "uuid", "gap")
+    return robustify.detached(_docs(spark, sf_dir, "strays")).select("path", "line", "uuid", "gap")
 
 
 _REPAIR_KIND = "CASE st WHEN 4 THEN 'unresolvable' WHEN 5 THEN 'ambiguous' WHEN 6 THEN 'conflict' ELSE 'repair' END"
@@ -156,7 +160,7 @@ def robustify_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("create_readme", f"SELECT 'nation/README.md' AS path, md5(concat('---', chr(10), 'uuid: {_minted('nation/README.md')}', chr(10), '---', chr(10), chr(10), '# nation', chr(10))) AS digest")
 def create_readme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = documents.Options(ignore_blocks=OPTIONS.ignore_blocks, create_readme=True)
+    options = replace(OPTIONS, create_readme=True)
     return robustify.plan(corpus.tree(spark, sf_dir), options).created.select("path", F.md5("new_content").alias("digest"))
 
 
@@ -173,7 +177,7 @@ def check_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "check_verdict",
     f"""SELECT broken, loose, CASE WHEN broken > 0 THEN 2 WHEN loose > 0 THEN 3 ELSE 0 END AS code FROM (
-  SELECT count(*) FILTER (axis = 'integrity' AND kind <> 'ignored_links') AS broken, count(*) FILTER (axis = 'strict' AND kind <> 'ignored_links') AS loose
+  SELECT count(*) FILTER (axis = 'integrity' AND kind <> 'ignored_links') AS broken, count(*) FILTER (axis = 'strict' AND kind = 'robustify') AS loose
   FROM (SELECT axis, kind, unnest(generate_series(1, n)) FROM ({_AXES})))""",
 )
 def check_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +186,7 @@ def check_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("web_links", f"SELECT path, 3 AS line, {_ORDER_HREF} AS href, CASE WHEN k % 5 = 0 THEN {named('web', 'k')} END AS uuid, false AS exempt FROM o WHERE st = 13")
 def web_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.web_links(_docs(spark, sf_dir)).select("path", "line", "href", "uuid", "exempt")
+    return web.web_links(_docs(spark, sf_dir, "web")).select("path", "line", "href", "uuid", "exempt")
 
 
 _WEB = f"""SELECT path, {_ORDER_HREF} AS href, CASE WHEN k % 7 < 3 THEN 'web_unverifiable' WHEN k % 5 <> 0 AND k % 7 > 3 THEN 'web_anchor' WHEN k % 5 <> 0 AND k % 3 = 0 THEN 'web_own_no_uuid'
@@ -271,10 +275,115 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("backlinks", "SELECT concat('customer/', c, '.md') AS target, count(*) AS n FROM (SELECT c FROM o WHERE st IN (0, 3, 8) UNION ALL SELECT c FROM p WHERE st = 4) GROUP BY c ORDER BY n DESC, target LIMIT 20")
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: the twenty customers that most links name by their right path."""
-    docs = _docs(spark, sf_dir)
+    docs = cut(_docs(spark, sf_dir, "robust", "plain"))
     links = repair.robust_links(docs).select("path", "href", F.lit(True).alias("robust")).unionByName(robustify.plain_links(docs).select("path", "href", F.lit(False).alias("robust")))
     own = docs.select(F.col("path").alias("target"))
     to = links.withColumn("target", paths.resolved(F.col("href"), F.col("path"))).join(own, "target", "left_semi").where("target LIKE 'customer/%' ")
     wrong = repair.robust_links(docs).join(documents.uuid_index(docs).select("uuid"), "uuid", "left_anti").select("path", "href")
     to = to.join(wrong, ["path", "href"], "left_anti")
     return to.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(20)
+
+
+@query(
+    "check_report",
+    f"""SELECT axis, kind, path, line, href FROM (
+  SELECT 'integrity' AS axis, kind, path, CASE WHEN kind <> 'ignored_links' THEN line END AS line, href FROM ({_REPAIRS}) UNION ALL SELECT 'integrity', 'invalid_frontmatter', path, NULL, NULL FROM s WHERE st = 1
+  UNION ALL SELECT CASE WHEN kind IN ('dangling', 'absolute_local_path') THEN kind ELSE 'strict' END, kind, path, CASE WHEN kind <> 'ignored_links' THEN line END, href FROM ({_STRICT}))""",
+)
+def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings' JSON, read again."""
+    found = check.check(corpus.tree(spark, sf_dir), OPTIONS).report()
+    return found.select("axis", F.from_json("finding", "kind string, path string, line int, href string").alias("x")).select("axis", "x.*")
+
+
+@query(
+    "gate_modes",
+    f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 16 AS st FROM orders), found AS (SELECT axis, kind, n FROM ({_KEYS} {_AXES}))
+SELECT mode, axis, kind, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT 'repair' AS mode, * FROM found WHERE axis = 'integrity' UNION ALL SELECT 'check', * FROM found WHERE axis IN ('integrity', 'strict') UNION ALL SELECT 'max', * FROM found WHERE axis IN ('integrity', 'strict')
+  UNION ALL SELECT 'max', 'strict', 'robustify', count(*) FROM o WHERE st = 9) GROUP BY mode, axis, kind""",
+)
+def gate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = corpus.tree(spark, sf_dir)
+    found, more = check.check(tree, OPTIONS).findings, robustify.plan(tree, replace(OPTIONS, create_frontmatter=True)).findings
+    modes = [gate.by_mode(found, mode, more).groupBy("axis", "kind").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "*") for mode in gate.MODES]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+@query("gate_rungs", "SELECT rung, CASE rung WHEN 'repo' THEN n ELSE 0 END AS n FROM (SELECT count(*) AS n FROM o WHERE st IN (10, 11)), (SELECT unnest(['off', 'warn', 'repo']) AS rung)")
+def gate_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(robustify.plan(corpus.tree(spark, sf_dir), OPTIONS).findings)
+    rungs = [gate.dangling(found, x).agg(F.count("*").alias("n")).select(F.lit(x).alias("rung"), "n") for x in ("off", "warn", "repo")]
+    return rungs[0].unionByName(rungs[1]).unionByName(rungs[2])
+
+
+@query("deny_listed", "SELECT path, CAST(2 AS INTEGER) AS line, '../supplier/2.md' AS href FROM p WHERE st = 7")
+def deny_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = robustify.plan(corpus.tree(spark, sf_dir), replace(OPTIONS, deny_globs=("[2]*",))).findings
+    return found.where("kind = 'deny_listed'").select("path", "line", "href")
+
+
+@query("target_writes_refused", "SELECT path, '../supplier/2.md' AS href FROM p WHERE st = 7 AND k % 3 = 0")
+def target_writes_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = corpus.query(spark, sf_dir, "SELECT concat('part/', p_partkey, '.md') AS path FROM part WHERE p_partkey % 3 = 0")
+    found = robustify.plan(corpus.tree(spark, sf_dir), replace(OPTIONS, allow_target_writes=False), scope).findings
+    return found.where("kind = 'target_write_refused'").select("path", "href")
+
+
+@query("target_writes", "SELECT DISTINCT 'supplier/2.md' AS path FROM p WHERE st = 7 AND k % 3 = 0")
+def target_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = corpus.query(spark, sf_dir, "SELECT concat('part/', p_partkey, '.md') AS path FROM part WHERE p_partkey % 3 = 0")
+    return robustify.plan(corpus.tree(spark, sf_dir), OPTIONS, scope).findings.where("kind = 'target_uuid_write'").select("path")
+
+
+@query("robustify_suppressed", "SELECT path, CAST(1 AS BIGINT) AS n FROM p WHERE st IN (2, 4) AND k % 3 <> 0 UNION ALL SELECT path, 1 FROM o WHERE st = 8")
+def robustify_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = corpus.query(spark, sf_dir, "SELECT concat('part/', p_partkey, '.md') AS path FROM part WHERE p_partkey % 3 = 0")
+    return robustify.plan(corpus.tree(spark, sf_dir), OPTIONS, scope).suppressed
+
+
+@query("excluded_folders", "SELECT 'orders' AS folder, count(*) AS n FROM o UNION ALL SELECT 'part', count(*) FROM p UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'nation', count(*) FROM nation")
+def excluded_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = Tree.of(corpus.query(spark, sf_dir, corpus.DOCS), options=replace(OPTIONS, excludes=("supp*", "re?ion", "Part")))
+    return tree.docs.groupBy(F.split("path", "/")[0].alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query("crlf_insertion", f"SELECT path, md5(concat('---', chr(13), chr(10), 'uuid: ', {named('supplier', 'k')}, chr(13), chr(10), CASE st WHEN 2 THEN concat('title: s', chr(13), chr(10), '---', chr(13), chr(10)) ELSE concat('---', chr(13), chr(10), chr(13), chr(10), '# Supplier ', k, chr(13), chr(10)) END)) AS digest FROM s WHERE st IN (0, 2)")
+def crlf_insertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uuid given to documents whose lines end in carriage return and line feed, with and without a block."""
+    rows = corpus.query(spark, sf_dir, f"SELECT path, {named('supplier', 'k')} AS uuid, replace(content, chr(10), concat(chr(13), chr(10))) AS content FROM ({corpus.SUPPLIERS}) WHERE k % 10 IN (0, 2)")
+    text = F.col("content")
+    edit = frontmatter.uuid_insertion(frontmatter.head_length(text), frontmatter.has_frontmatter(text), frontmatter.newline(text), F.col("uuid"))
+    return rows.select("path", F.md5(splice.spliced(text, F.array(edit))).alias("digest"))
+
+
+@query("plain_uuids", f"SELECT path, CASE WHEN st = 1 THEN concat('[', k) WHEN st = 5 THEN {named('suppliers', '(k - 5)')} WHEN st = 6 THEN {named('suppliers', '(k - 6)')} WHEN st >= 3 THEN {named('supplier', 'k')} END AS uuid FROM s")
+def plain_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.query(spark, sf_dir, corpus.SUPPLIERS).select("path", frontmatter.plain_uuid(F.col("content")).alias("uuid"))
+
+
+_ODD_URL = ("ö w", "r~*", "a b%20c/é(x)+&=,.md", "v1/x?")
+
+
+def _quoted_url() -> str:
+    owner, repo, path, ref = (urllib.parse.quote(x, safe="/%" if k == 2 else "%") for k, x in enumerate(_ODD_URL))
+    return f"https://api.github.com/repos/{owner}/{repo}/contents/{path}?ref={ref}"
+
+
+@query("contents_urls", f"SELECT k, CASE WHEN k % 2 = 0 THEN '{_quoted_url()}' ELSE concat('https://api.github.com/repos/own/repo/contents/docs/', k, '%20.md?ref=main') END AS address FROM o")
+def contents_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.struct(*(F.lit(x).alias(n) for x, n in zip(_ODD_URL, ("owner", "repo", "path", "ref"), strict=True)))
+    plain = F.struct(F.lit("own").alias("owner"), F.lit("repo").alias("repo"), F.concat(F.lit("docs/"), F.col("k").cast("string"), F.lit("%20.md")).alias("path"), F.lit("main").alias("ref"))
+    rows = corpus.query(spark, sf_dir, "SELECT o_orderkey AS k FROM orders")
+    return rows.select("k", F.when(F.col("k") % 2 == 0, web.contents_url(odd)).otherwise(web.contents_url(plain)).alias("address"))
+
+
+@query("web_tokens", f"SELECT path, {_ORDER_HREF} AS href, k % 7 < 2 AS token_would_help, CASE WHEN k % 7 > 3 AND k % 5 <> 0 THEN CASE WHEN k % 7 = 4 THEN {named('other', 'k')} ELSE {named('web', 'k')} END END AS anchored FROM o WHERE st = 13")
+def web_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _web(spark, sf_dir).findings.select("path", "href", "token_would_help", "anchored")
+
+
+@query("web_with_token", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN k % 7 = 0 THEN 'web_not_found' ELSE kind END AS kind FROM (SELECT k, w.kind FROM o JOIN ({_WEB}) w USING (path))) GROUP BY kind")
+def web_with_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = web.check(corpus.tree(spark, sf_dir), corpus.fetches(spark, sf_dir), OPTIONS, owners=("Own",), have_token=True)
+    return found.findings.groupBy("kind").agg(F.count("*").alias("n"))

@@ -91,7 +91,8 @@ def out_of_root(scan: DataFrame) -> DataFrame:
 def tree(spark: SparkSession, root: str, options: Options = Options()) -> Tree:
     """Documents, everything that exists under root, and a probe for what lies outside."""
     real = os.path.realpath(root)
-    docs = scanned(spark, root, options).where("state = 'ok'").dropDuplicates(["path"]).select("path", "content", "has_bom")
+    scan = scanned(spark, root, options)
+    docs = scan.where("state = 'ok'").dropDuplicates(["path"]).select("path", "content", "has_bom")
     rows = [(".", "dir")]
     for at, dirs, names in os.walk(real):
         base = os.path.relpath(at, real)
@@ -107,7 +108,13 @@ def tree(spark: SparkSession, root: str, options: Options = Options()) -> Tree:
 
         return outside.mapInPandas(look, "path string, type string")
 
-    return Tree(docs, spark.createDataFrame(rows, "path string, type string"), probe)
+    return Tree(docs, spark.createDataFrame(rows, "path string, type string"), probe, out_of_root(scan))
+
+
+def under(name: str, root: str) -> str:
+    """A path as a user gives it, absolute or from the working directory, as a path under root, with links resolved."""
+    found = os.path.relpath(os.path.realpath(name), os.path.realpath(root))
+    return found.replace(os.sep, "/")
 
 
 def path_list(spark: SparkSession, file: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from linkgraph.operators import check, documents, gate, repair, robustify, web
 from linkgraph.operators.documents import Options, Tree
+from linkgraph.sources import git as trees_git
 from linkgraph.sources import tree as trees
 
 U, V, W = "11111111-1111-1111-1111-11111111111a", "2222222b-1111-1111-1111-111111111111", "33333333-cccc-1111-1111-111111111111"
@@ -107,8 +110,8 @@ def test_web_verdicts(spark):
     assert [x.kind for x in found.findings.orderBy("start").collect()] == ["web_ok", "web_mismatch", "web_anchor", "web_own_no_uuid", "web_unverifiable", "web_unverifiable", "web_own_exempt", "web_unverifiable", "web_unverifiable"]
     assert found.verdict().first().code == 4
     assert f"[c]({link}c.md) <!-- web-uuid: {U} -->{{.x}}" in rewritten(found)["s.md"]
-    got = web.fetched(web.web_links(documents.prepared(tree_of(spark, {"s.md": text}), Options())), once=lambda *x: (200, x[3]))
-    assert {x.href: x.body for x in got.collect()}[f"{link}a.md"] == "a.md"
+    got = web.fetched(web.web_links(documents.prepared(tree_of(spark, {"s.md": text}), Options())), once=lambda *x: (200, x[0]))
+    assert {x.href: x.body for x in got.collect()}[f"{link}a.md"] == "https://api.github.com/repos/Own/r/contents/a.md?ref=main"
     calls, waits = [], []
     assert web.with_retries(lambda: (calls.append(1), (503, None))[1], 3, waits.append) == (503, None) and len(calls) == 3 and waits == [0.5, 1.0]
 
@@ -156,6 +159,138 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "s.md").read_text() == f"[b](B.md){a(U)}"
     assert main(["check", str(tmp_path)], spark) == 0 and main(["check", str(tmp_path), "--write"], spark) == 1
     assert main([str(tmp_path), "--only", "none.md"], spark) == 1
+    capsys.readouterr()
+    # Absolute paths name the scope; a root that is none, and options that don't go together, are wrong calls.
+    (tmp_path / "t.md").write_text(f"[b](old/B.md){a(U)}")
+    (tmp_path / "bad.md").write_text("---\nuuid: [\n---\n")
+    assert main([str(tmp_path), "--only", str(tmp_path / "s.md"), "--json"], spark) == 1
+    found = json.loads(capsys.readouterr().out)
+    assert found["write_scope"] == [str(tmp_path / "s.md")] and found["suppressed_outside_write_scope"] == 1 and found["invalid_frontmatter_files"] == [str(tmp_path / "bad.md")] and found["findings"] == [] and found["applied"] is False
+    assert main([str(tmp_path / "none")], spark) == 2 and main(["check", str(tmp_path / "none")], spark) == 1 and main([str(tmp_path), "--no-target-writes"], spark) == 1 and main(["gate", "--write"], spark) == 1 and main(["check", "--nonsense"], spark) == 1
+    assert main(["web-check", str(tmp_path), "--own", "x"], spark) == 1 and main(["web-check", str(tmp_path), "--online", "--own-max", "3"], spark) == 1 and main(["web-check", str(tmp_path), "--online", "--own", " "], spark) == 1
+
+
+def test_report_shapes(spark, tmp_path, capsys):
+    from linkgraph.cli import main
+
+    link = "https://github.com/Own/r/blob/main/"
+    (tmp_path / "s.md").write_text(f"[b](B.md) [m](gone.md) [z](/srv/x) [w]({link}a.md)\n[v]({link}b%20c.md) <!-- web-uuid: {V} -->\n[u](https://x.org/y)")
+    (tmp_path / "B.md").write_text(DOC)
+    (tmp_path / "out.md").symlink_to("/etc/hostname")
+    assert main(["check", str(tmp_path), "--json"], spark) == 3
+    found = json.loads(capsys.readouterr().out)
+    assert list(found) == ["check", "exit_code", "write_scope", "integrity", "strict", "out_of_root_links", "dangling", "absolute_local_path"]
+    assert found["integrity"] == {"failed": False, "repairs": 0, "conflicts": 0, "unresolved": 0, "invalid_frontmatter": 0, "invalid_frontmatter_files": [], "findings": []}
+    assert found["strict"]["failed"] and found["strict"]["robustify"] == 1 and [(x["kind"], x["file"]) for x in found["strict"]["findings"]] == [("robustify", str(tmp_path / "s.md"))]
+    assert found["out_of_root_links"] == [str(tmp_path / "out.md")] and found["dangling"]["count"] == 1 and found["dangling"]["findings"][0]["line"] == 1 and found["absolute_local_path"]["count"] == 1
+    assert main(["check", str(tmp_path)], spark) == 3 and "out.md" in capsys.readouterr().out
+    assert main(["web-check", str(tmp_path), "--json"], spark) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["web_links_seen"] == 3 and [x["anchored"] for x in found["links"]] == [False, True, False] and found["online"] is False
+    answers = {"a.md": (200, DOC), "b%20c.md": (200, "x")}
+    fetch = lambda address, token: answers[address.split("/contents/")[1].split("?")[0]]
+    assert main(["web-check", str(tmp_path), "--online", "--json"], spark, fetch) == 4
+    found = json.loads(capsys.readouterr().out)
+    assert (found["web_anchor"], found["web_mismatch"], found["web_unverifiable"], found["own_max"]) == (1, 1, 1, None) and [x["anchored_uuid"] for x in found["findings"]] == [U, None, None]
+    assert main(["web-check", str(tmp_path), "--online", "--write"], spark, fetch) == 4 and f"a.md) <!-- web-uuid: {U} -->" in (tmp_path / "s.md").read_text()
+
+
+def test_gate_of_a_repository(spark, tmp_path, capsys):
+    import subprocess
+
+    from linkgraph.cli import main
+
+    git = lambda *x: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.org", *x], cwd=tmp_path, check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "old.md").write_text("[m](gone.md)\n")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    config = tmp_path / "gate.json"
+    config.write_text('{"scope": "staged", "dangling": "added-lines"}')
+    gated = lambda: (main(["gate", str(tmp_path), "--config", str(config)], spark), capsys.readouterr())[0]
+    (tmp_path / "old.md").write_text("[m](gone.md)\nmore\n")
+    git("add", "-A")
+    assert gated() == 0
+    (tmp_path / "old.md").write_text("[m](gone.md)\nmore [n](lost.md)\n")
+    git("add", "-A")
+    assert gated() == 1
+    config.write_text('{"mode": "max", "web": true, "own_web_from_origin": true, "fail_closed": true}')
+    assert gated() == 4  # no origin
+    config.write_text('{"mode": "max", "web": true, "own_web_from_origin": true}')
+    assert gated() == 0
+    git("remote", "add", "origin", "git@github.com:Own/r.git")
+    from linkgraph.operators.policy import origin_owner
+
+    assert origin_owner(str(tmp_path)) == "Own" and origin_owner("/") is None
+    with pytest.raises(ValueError, match="staged"):
+        trees_git.staged(spark, "/")
+
+
+def test_fetching():
+    import http.client
+    import urllib.error
+
+    class Answer:
+        status = 200
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+        def read(self):
+            return b"\xef\xbb\xbfa\xff"
+
+    seen = []
+
+    def opener(request, timeout):
+        seen.append((request.full_url, timeout, dict(request.header_items())))
+        return Answer()
+
+    assert web.fetch_once("https://api.github.com/x", "t", opener=opener) == (200, "a\ufffd")
+    assert seen[0][1] == 15 and seen[0][2]["Authorization"] == "Bearer t" and seen[0][2]["Accept"] == "application/vnd.github.raw" and seen[0][2]["User-agent"]
+
+    def failing(error):
+        def opener(request, timeout):
+            raise error
+
+        return web.fetch_once("https://api.github.com/x", opener=opener)
+
+    cases = {http.client.IncompleteRead(b""): -1, http.client.BadStatusLine("x"): -1, http.client.InvalidURL("x"): -3, UnicodeEncodeError("ascii", "é", 0, 1, "x"): -3, OSError(): -1, TimeoutError(): -1, urllib.error.HTTPError("u", 403, "m", {}, None): 403}
+    assert [failing(x)[0] for x in cases] == list(cases.values())
+    assert web.fetch_once("no scheme") == (-3, None)
+    assert [web.attempts_of({web.ATTEMPTS_VARIABLE: x}) for x in ("5", "0", "-2", "x", "")] == [5, 1, 1, 3, 3] and web.attempts_of({}) == 3
+
+
+def test_repositories_are_asked_for_once(spark, tmp_path):
+    link = "https://github.com/Own/%s/blob/main/%s.md"
+    text = "\n".join(f"[a]({link % x})" for x in (("open", "a"), ("open", "b"), ("closed", "a"), ("closed", "b")))
+    log = tmp_path / "log"
+
+    def once(address, token, log=str(log)):
+        with open(log, "a") as out:
+            out.write(address + "\n")
+        return (404, None) if "/contents/" in address or address.endswith("closed") else (200, "x")
+
+    got = web.fetched(web.web_links(documents.prepared(tree_of(spark, {"s.md": text, "t.md": text}), Options())), "token", 1, once)
+    assert sorted((x.href.split("/")[4], x.status) for x in got.collect()) == [("closed", -2)] * 2 + [("open", 404)] * 2
+    assert len(log.read_text().split()) == 6
+    assert {x.status for x in web.fetched(web.web_links(documents.prepared(tree_of(spark, {"s.md": text}), Options())), None, 1, once).collect()} == {404}
+
+
+def test_every_plan_gives_out_its_own_uuids(spark):
+    tree = tree_of(spark, {"fm.md": "---\nt: x\n---\n", "s.md": "[f](fm.md)"})
+    one, two = (robustify.plan(tree) for _ in range(2))
+    new = lambda plan: rewritten(plan)["fm.md"].split("uuid: ")[1][:36]
+    assert new(one) == new(one) and new(one) in rewritten(one)["s.md"] and new(one) != new(two)
+    assert new(robustify.plan(tree, Options(mint_seed="x"))) == new(robustify.plan(tree, Options(mint_seed="x")))
+
+
+def test_no_readme_beside_foreign_documents(spark):
+    rows = [("d/x.md", None), ("e/y.md", "y"), ("s.md", "[d](d/) [e](e/)")]
+    plan = robustify.plan(Tree.of(spark.createDataFrame(rows, "path string, content string")), Options(create_readme=True))
+    assert [x.path for x in plan.created.collect()] == ["e/README.md"]
 
 
 def test_modes_keep_repeated_findings(spark):
@@ -179,7 +314,7 @@ def test_streaming_gate(spark, tmp_path):
 def test_gate_policy(spark, tmp_path):
     from linkgraph.operators.policy import GateConfig, owner_of, run
 
-    assert [owner_of(x) for x in ("https://github.com/Own/r.git", "git@github.com:own/r", "ssh://git@ssh.github.com:443/o/r", "https://other.org/a/b")] == ["Own", "own", "o", None]
+    assert [owner_of(x) for x in ("https://github.com/Own/r.git", "git@github.com:own/r", "ssh://git@ssh.github.com:443/o/r", "https://other.org/a/b", "HTTPS://u:p@WWW.GitHub.com/o/r\n", "github.com:o/r", "https://g\u0131thub.com/o/r", "https://github.com/o", "ftp://github.com/o/r", "https://github.com//o/r", "")] == ["Own", "own", "o", None, "o", "o", None, None, None, None, None]
     file = tmp_path / "gate.json"
     file.write_text('﻿{"mode": "max", "dangling": "on", "dangling_max": "two", "excludes": ["x"], "other": 1}', encoding="utf-8")
     config = GateConfig.read(str(file))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions import frontmatter, paths, tokens
 
-SPACE = r"\s"
+#: Fixed patterns of the format, in their plainest form.
 HREF = rf"(?:(?:[^()\s]|\((?:[^()\s]|\([^()\s]*\))*\))+|[^)]+)"
 LINK = rf"\[([^\]]*)\]\(({HREF})\)"
 ATTRS = r'\{(?:[^{}"\n]|"[^"\n]*")*\}'
@@ -57,8 +57,9 @@ def test_tokenisers_agree_with_plain_scanners(spark):
     texts = random_texts(3000, 1)
     t = F.col("t")
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").withColumn("fenced", tokens.fenced_spans(t))
-    df = df.withColumn("inline", tokens.inline_spans(t, F.col("fenced"))).withColumn("code", F.concat("fenced", "inline")).withColumn("links", tokens.all_links(t))
-    rows = df.select("i", "fenced", "inline", tokens.robust_links(t, F.col("code")).alias("robust"), tokens.plain_links(F.col("links"), F.col("code")).alias("plain"), tokens.detached_anchors(t, F.col("links"), F.col("code")).alias("strays")).collect()
+    df = df.withColumn("inline", tokens.inline_spans(t, F.col("fenced"))).withColumn("code", F.concat("fenced", "inline")).withColumn("found", tokens.scan(t))
+    found, code = F.col("found"), F.col("code")
+    rows = df.select("i", "fenced", "inline", tokens.robust_links(found, code).alias("robust"), tokens.plain_links(found, code).alias("plain"), tokens.detached_anchors(found, code).alias("strays")).collect()
     for row in rows:
         text = texts[row.i]
         fenced = fences(text)
@@ -77,13 +78,14 @@ def test_tokenisers_agree_with_plain_scanners(spark):
             elif outside(m.start()):
                 plain.append((m.start(), m.end(), m[2]))
         assert [(x.s, x.e, x.href) for x in row.plain] == plain, repr(text)
-        strays = [(m.start(), m.end()) for m in re.finditer(COMMENT, text) if m.end() not in attached and outside(m.start())]
-        assert [(x.s, x.e) for x in row.strays] == strays, repr(text)
+        gap = lambda before: len(before) - len(before.rstrip(" \t"))
+        strays = [(m.start(), m.end(), text.count("\n", 0, m.start()) + 1, gap(text[: m.start()])) for m in re.finditer(COMMENT, text) if m.end() not in attached and outside(m.start())]
+        assert [(x.s, x.e, x.line, x.gap) for x in row.strays] == strays, repr(text)
 
 
 def test_long_hrefs_do_not_exhaust_the_stack(spark):
     texts = ["[a](" + "x" * 200_000 + ")", "[a](" + "(x)" * 3000 + ")", "[a](" + "(" * 5000 + "b) [c](d)"]
-    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(tokens.all_links(F.col("t")).alias("l")).collect()
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(tokens.scan(F.col("t"), ("links",))["links"].alias("l")).collect()
     assert [[x.href for x in r.l] for r in rows] == [[m[2] for m in re.finditer(LINK, x)] for x in texts]
 
 
