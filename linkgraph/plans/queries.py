@@ -43,7 +43,7 @@ def query(name: str, sql: str) -> Callable[[Query], Query]:
 
 
 def _docs(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    return documents.prepared(corpus.tree(spark, sf_dir, once=True), OPTIONS, kinds)
+    return documents.prepared(corpus.tree(spark, sf_dir, once=not kinds), OPTIONS, kinds)
 
 
 _UUIDS = f"""SELECT uuid, count(*) AS n, min(path) AS path FROM (
@@ -286,14 +286,14 @@ def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "check_report",
-    f"""SELECT axis, kind, path, line, href FROM (
-  SELECT 'integrity' AS axis, kind, path, CASE WHEN kind <> 'ignored_links' THEN line END AS line, href FROM ({_REPAIRS}) UNION ALL SELECT 'integrity', 'invalid_frontmatter', path, NULL, NULL FROM s WHERE st = 1
-  UNION ALL SELECT CASE WHEN kind IN ('dangling', 'absolute_local_path') THEN kind ELSE 'strict' END, kind, path, CASE WHEN kind <> 'ignored_links' THEN line END, href FROM ({_STRICT}))""",
+    f"""SELECT axis, kind, path, line, coalesce(href, '') AS href FROM (
+  SELECT 'integrity' AS axis, kind, path, line, href FROM ({_REPAIRS}) UNION ALL SELECT 'integrity', 'invalid_frontmatter', path, 0, NULL FROM s WHERE st = 1
+  UNION ALL SELECT CASE WHEN kind IN ('dangling', 'absolute_local_path') THEN kind ELSE 'strict' END, kind, path, line, href FROM ({_STRICT}))""",
 )
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings' JSON, read again."""
     found = check.check(corpus.tree(spark, sf_dir), OPTIONS).report()
-    return found.select("axis", F.from_json("finding", "kind string, path string, line int, href string").alias("x")).select("axis", "x.*")
+    return found.select("axis", F.from_json("finding", "kind string, path string, line int, href string").alias("x")).select("axis", "x.kind", "x.path", F.coalesce("x.line", F.lit(0)).alias("line"), F.coalesce("x.href", F.lit("")).alias("href"))
 
 
 @query(
