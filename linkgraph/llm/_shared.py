@@ -52,14 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with _small_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that ``written`` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` returned and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from functools import lru_cache
 
 import pyarrow as pa
@@ -130,17 +131,17 @@ class TreeBpe:
 
 
 class Digests:
-    """Digests of ids and of decoded bytes, with the pieces seen of late remembered."""
+    """Digests of ids and of the bytes that they decode to, with the ids of pieces seen of late remembered."""
 
     def __init__(self, bpe: TreeBpe) -> None:
         self.bpe, self.young, self.old = bpe, {}, {}
 
-    def piece(self, piece: str) -> tuple[str, bytes, int]:
+    def piece(self, piece: str) -> tuple[str, list[int]]:
         if piece in self.old:
             found = self.young[piece] = self.old[piece]
             return found
         ids = self.bpe.encode_piece(piece)
-        found = ",".join(map(str, ids)), self.bpe.decode(ids), len(ids)
+        found = ",".join(map(str, ids)), ids
         if len(piece) <= 64:
             self.young[piece] = found
         return found
@@ -150,8 +151,8 @@ class Digests:
             self.young, self.old = {}, self.young
         get = self.young.get
         found = [get(x) or self.piece(x) for x in self.bpe.split(text)]
-        ids, plain, counts = zip(*found, strict=True) if found else ((), (), ())
-        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(plain)).hexdigest()
+        ids = list(chain.from_iterable(x[1] for x in found))
+        return len(ids), hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(self.bpe.decode(ids)).hexdigest()
 
 
 _coders: dict[tuple[str, str], Digests] = {}

@@ -130,8 +130,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return pairs.join(one.hint("merge"), "x").join(other.hint("merge"), "r").select("r", "x", "text_r", "text_x").mapInArrow(lambda batches: _compare(batches, words), _COMPARED)
 
 
-def _missed(stars: DataFrame) -> DataFrame:
-    """Pairs that aren't linked by their pivot and may be similar, as (r, x) with r < x."""
+def _missed(stars: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Pairs that aren't linked by their pivot and may be similar, as (r, x) with r < x, and the tables that they come from."""
     # A table of its own, so that the join with it can split the rows of a pivot of many documents.
     open_pivots = _shared.written(stars.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("unlinked")).where("n > 1 AND unlinked > 0").select("r"), "pivots")
     found = stars.join(open_pivots, "r")
@@ -152,7 +152,7 @@ def _missed(stars: DataFrame) -> DataFrame:
     once = (F.col("x1") < F.col("x2")) | (F.col("linked2") & (F.col("x1") != F.col("x2")))
     a, b = left.alias("a"), right.alias("b")
     found = a.join(b, (F.col("a.r") == F.col("b.r")) & (F.col("a.token") == F.col("b.token")) & once & close)
-    return found.select(F.least("x1", "x2").alias("r"), F.greatest("x1", "x2").alias("x")).distinct()
+    return found.select(F.least("x1", "x2").alias("r"), F.greatest("x1", "x2").alias("x")).distinct(), (open_pivots, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,13 +205,16 @@ def find(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
     ids = pairs.select(F.explode(F.array("r", "x")).alias("id")).distinct()
     texts = _shared.written(_shared.narrowed(source, ids, "id").join(ids.hint("merge"), "id", "left_semi"), "texts")
     stars = _shared.written(_compared(pairs, texts, words), "stars")
-    more = _compared(_shared.written(_missed(stars), "pairs"), texts, words)
+    missed, orders = _missed(stars)
+    missed = _shared.written(missed, "pairs")
+    more = _compared(missed, texts, words)
     edges = stars.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")).unionByName(more.where("linked").select(F.col("r").alias("a"), F.col("x").alias("b")))
     # An id with several texts ties their classes together.
     repeated = named.groupBy("id").agg(F.min("content").alias("c"), F.max("content").alias("d")).where("c <> d").select("id")
     tied = named.join(repeated, "id", "left_semi").select("id", "content").distinct().join(classes, "content").select(F.col("id").alias("a"), F.col("first").alias("b"))
     edges = edges.unionByName(tied)
     found = components(edges)
+    _shared.discard(members, pairs, texts, stars, missed, *orders)
     owned = signed.select("id", "n", "content").join(classes, "content", "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce(F.least("first", "id"), "id")).otherwise(F.col("id")))
     joined = owned.join(found.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("component", "node")

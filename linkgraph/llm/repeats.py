@@ -369,11 +369,11 @@ def _pieces(texts: Texts, d: int, hashes: np.ndarray, starts: np.ndarray, ends:
             s = e - WINDOW + 1
 
 
-def _round(texts: DataFrame, places: DataFrame, spans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _round(texts: DataFrame, places: DataFrame, spans: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stream the documents that ask for a hash through the windows at the places that own it.
 
     texts: id, key, text; places: id, key, h, s, e, own; spans: id, key, spans found before.
-    Returns the results, and the documents that were streamed.
+    Returns the results, the documents that were streamed, and the table that these come from.
     """
     own = F.when(F.col("own"), F.struct("h", "s", "e"))
     asks = places.groupBy("id", "key").agg(F.collect_list(own).alias("own"), F.collect_set(F.when(~F.col("own"), F.col("h"))).alias("known"))
@@ -391,7 +391,7 @@ def _round(texts: DataFrame, places: DataFrame, spans: DataFrame | None = None)
     sent = sent.select("shard", F.lit(1).alias("kind"), F.col("owner").alias("id"), F.lit(0).cast("long").alias("key"), F.col("passage").alias("text"), F.array().cast("array<long>").alias("known"), none.alias("spans"))
     rows = docs.select("shard", F.lit(0).alias("kind"), "id", "key", "text", "known", "spans").unionByName(sent)
     found = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_stream, _RESULT)
-    return _shared.written(found, "removed"), docs
+    return _shared.written(found, "removed"), docs, parts
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,12 +420,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = _shared.written(grams.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most").select("h", "owner"), "shared")
     # Every place of the k-gram in its owner makes a passage: the words around it can differ.
     places = grams.join(shared, "h").select("id", "key", "h", (F.col("p") - (SPAN - 1)).alias("s"), (F.col("p") + WINDOW).alias("e"), (F.col("id") == F.col("owner")).alias("own"))
-    first, streamed = _round(source, _shared.written(places, "places"))
+    places = _shared.written(places, "places")
+    first, streamed, parts = _round(source, places)
+    _shared.discard(places, shared)
     # Windows that an earlier document's passages should hold but don't.
     rest = first.select("id", "key", F.explode("rest").alias("w")).select("id", "key", "w.h", "w.g", "w.p")
     again = _shared.written(rest.groupBy("h", "g").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most").select("h", "g", "owner"), "shared")
     places = rest.join(again, ["h", "g"]).select("id", "key", "h", F.col("p").alias("s"), (F.col("p") + WINDOW).alias("e"), (F.col("id") == F.col("owner")).alias("own"))
-    second, _ = _round(streamed.select("id", "key", "text"), _shared.written(places, "places"), first.select("id", "key", "spans"))
+    places = _shared.written(places, "places")
+    second, _, other = _round(streamed.select("id", "key", "text"), places, first.select("id", "key", "spans"))
+    _shared.discard(places, again, parts, other)
     more = second.select("id", "key", *(F.col(k).alias(f"{k}_2") for k in ("removed", "kept", "spans")))
     results = first.select("id", "key", "removed", "kept", "spans").join(more, ["id", "key"], "left")
     results = results.select(F.col("id").alias("head_id"), F.col("key").alias("head_key"), *(F.coalesce(f"{k}_2", k).alias(k) for k in ("removed", "kept", "spans")))

@@ -1,7 +1,7 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy: training and decoding.
 
-Texts are tagged window by window; windows overlap, and every character takes its tag from
-the window in whose middle it stands most.
+The network reads texts window by window; where windows overlap, what they say of a character
+is averaged, and one best path of tags is taken through each stretch of windows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW, STRIDE = 64, 32
+#: Characters whose tags are decoded together.
+TOGETHER = 1 << 18
+#: Windows of texts that are tagged together.
+AT_ONCE = 4096
 
 _CLASSES = ["\0", "0123456789", "@", ".", "-", "+", "(", ")", " ", "\n\r\t", ",", ":;", "/", "_", "%", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\"'", "=", "#*&$"]
 #: Class of each code point below 128; 20 is any other ASCII character, 21 what lies beyond.
@@ -141,57 +145,95 @@ class Tagger:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         return loss
 
+    def viterbi(self, emissions: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each sequence (length, tags), by Viterbi; sequences of like lengths go together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(emissions)
+        order, at = np.argsort([len(x) for x in emissions], kind="stable").tolist(), 0
+        while at < len(order):
+            rows = order[at : at + max(1, TOGETHER // max(1, len(emissions[order[at]])))]
+            at += len(rows)
+            lengths = np.array([len(emissions[k]) for k in rows])
+            e = np.zeros((lengths.max(), len(rows), len(self.tags)), np.float32)
+            for k, row in enumerate(rows):
+                e[: lengths[k], k] = emissions[row]
+            if not len(e):
+                continue
+            best, came = self.p["begin"] + e[0], np.empty(e.shape, dtype=np.int8)
+            for t in range(1, len(e)):
+                ways = best[:, :, None] + self.p["move"]
+                going = (t < lengths)[:, None]
+                # A sequence that has ended stays as it is.
+                came[t] = np.where(going, ways.argmax(1), np.arange(len(self.tags)))
+                best = np.where(going, ways.max(1) + e[t], best)
+            tags, now = np.empty(e.shape[:2], dtype=np.int8), (best + self.p["finish"]).argmax(1)
+            for t in range(len(e) - 1, -1, -1):
+                tags[t] = now
+                now = came[t][np.arange(len(now)), now] if t else now
+            for k, row in enumerate(rows):
+                out[row] = tags[: lengths[k], k].copy()
+        return out
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tags of (windows, WINDOW) classes, by Viterbi."""
-        e = self.emissions(ids.T)
-        best, came = self.p["begin"] + e[0], np.empty(e.shape, dtype=np.int8)
-        for t in range(1, len(e)):
-            ways = best[:, :, None] + self.p["move"]
-            came[t] = ways.argmax(1)
-            best = ways.max(1) + e[t]
-        tags = np.empty(ids.shape, dtype=np.int8)
-        at = (best + self.p["finish"]).argmax(1)
-        for t in range(len(e) - 1, -1, -1):
-            tags[:, t] = at
-            at = came[t][np.arange(len(at)), at]
-        return tags
+        """The best tags of (windows, WINDOW) classes, each window by itself."""
+        return np.stack(self.viterbi(list(self.emissions(ids.T).transpose(1, 0, 2)))) if len(ids) else np.zeros((0, WINDOW), np.int8)
 
     def spans(self, texts: Sequence[str], anchors: Sequence[Sequence[int]]) -> list[list[tuple[int, int, str]]]:
         """Spans (start, end, kind) of each text, of the windows that hold one of its anchors.
 
-        Windows stand at every multiple of STRIDE, so that a character is in two of them.
+        Windows stand at every multiple of STRIDE, so that a character is in two of them.  Where
+        windows follow each other, their emissions are averaged, the more by a window the further
+        a character is from its edges, and one best path is taken through all of the stretch.
         """
-        wanted = [sorted({w for p in at for w in (p // STRIDE - 1, p // STRIDE)}) for at in anchors]
-        rows, n = [], sum(map(len, wanted))
-        for text, windows in zip(texts, wanted, strict=True):
-            if windows:
-                known = np.zeros(STRIDE + len(text) + WINDOW, dtype=np.int64)
-                known[STRIDE : STRIDE + len(text)] = classes(text)
-                rows += [known[STRIDE * (w + 1) : STRIDE * (w + 1) + WINDOW] for w in windows]
-        tags = np.concatenate([self.decode(np.stack(rows[i : i + 2048])) for i in range(0, n, 2048)]) if n else np.zeros((0, WINDOW), np.int8)
-        out, row = [], 0
-        for text, windows in zip(texts, wanted, strict=True):
-            out.append(self._reconciled(len(text), windows, tags[row : row + len(windows)]) if windows else [])
-            row += len(windows)
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        stretches: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for k, at in enumerate(anchors):
+            windows = np.unique([w for p in at for w in (p // STRIDE - 1, p // STRIDE)]).astype(np.int64)
+            held += len(windows)
+            stretches += [(k, x) for x in (np.split(windows, np.flatnonzero(np.diff(windows) * STRIDE >= WINDOW) + 1) if len(windows) else [])]
+            if held > AT_ONCE or k + 1 == len(texts):
+                found = self._averaged([(texts[j], windows) for j, windows in stretches])
+                starts = [max(0, int(x[0]) * STRIDE) for _, x in stretches]
+                for (j, _), start, tags in zip(stretches, starts, self.viterbi(found), strict=True):
+                    out[j] += [(start + s, start + e, kind) for s, e, kind in self.spans_of(tags)]
+                stretches, held = [], 0
+        return out
+
+    def _averaged(self, stretches: Sequence[tuple[str, np.ndarray]]) -> list[np.ndarray]:
+        """For each text and stretch of windows, the emissions (length, tags) of the text's characters in it."""
+        known, places = [], []
+        for text, windows in stretches:
+            low = int(windows[0]) * STRIDE
+            part = np.zeros(int(windows[-1]) * STRIDE + WINDOW - low, dtype=np.int64)
+            start, end = max(0, low), min(len(text), low + len(part))
+            part[start - low : end - low] = classes(text[start:end])
+            places.append(windows * STRIDE - low)
+            known.append(part)
+        begins = np.concatenate(([0], np.cumsum([len(x) for x in known]))).astype(np.int64)
+        line = np.concatenate([*known, np.zeros(0, np.int64)])
+        place = np.concatenate([p + b for p, b in zip(places, begins, strict=False)]) if places else np.zeros(0, np.int64)
+        near = (WINDOW / 2 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)).astype(np.float32)
+        total, weight = np.zeros((len(line), len(self.tags)), np.float32), np.zeros(len(line), np.float32)
+        for i in range(0, len(place), 2048):
+            some = place[i : i + 2048]
+            found = self.emissions(line[some[:, None] + np.arange(WINDOW)].T) * near[:, None, None]
+            for k, at in enumerate(some.tolist()):
+                total[at : at + WINDOW] += found[:, k]
+                weight[at : at + WINDOW] += near
+        total /= weight[:, None]
+        out = []
+        for (text, windows), begin in zip(stretches, begins, strict=False):
+            low = int(windows[0]) * STRIDE
+            start, end = max(0, low), min(len(text), int(windows[-1]) * STRIDE + WINDOW)
+            out.append(total[begin + start - low : begin + end - low])
         return out
 
-    def _reconciled(self, length: int, windows: list[int], tags: np.ndarray) -> list[tuple[int, int, str]]:
-        place, tag, near = [], [], []
-        inner = np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)
-        for w, found in zip(windows, tags, strict=True):
-            place.append(np.arange(WINDOW) + STRIDE * w)
-            tag.append(found)
-            near.append(inner)
-        place, tag, near = np.concatenate(place), np.concatenate(tag), np.concatenate(near)
-        order = np.lexsort((near, place))
-        place, tag = place[order], tag[order]
-        first = np.concatenate(([True], place[1:] != place[:-1])) & (place >= 0) & (place < length)
-        place, tag = place[first], tag[first]
-        inside = np.flatnonzero(tag)
+    def spans_of(self, tags: np.ndarray) -> list[tuple[int, int, str]]:
+        """Runs of one kind's tags; a tag B begins one, and so does an I after anything else."""
         out: list[tuple[int, int, str]] = []
-        for k in inside:
-            at, name = int(place[k]), self.tags[tag[k]]
-            if out and name[0] == "I" and out[-1][1] == at and out[-1][2] == name[2:]:
+        for at in np.flatnonzero(tags).tolist():
+            name = self.tags[tags[at]]
+            if out and name[0] == "I" and out[-1][1:] == (at, name[2:]):
                 out[-1] = (out[-1][0], at + 1, name[2:])
             else:
                 out.append((at, at + 1, name[2:]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
+import math
 import random
 import re
 
@@ -16,6 +18,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkgraph.llm import _text, bpe, contamination, near_duplicates, personal, quality, queries, repeats, secrets, token_files, topk, urls
+from linkgraph.llm import tagger as tagger_module
+from linkgraph.llm.tagger import Tagger
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -188,8 +192,9 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(3), rules.limit(0)).where("rule IS NULL AND verdict = 'allow'").count() == 3
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).count() == 0
     rows = [(int(i), [float(v) for v in rng.normal(0, 0.1, 8)]) for i in range(400)] + [(400, None), (450, []), (500, [1.0, None] + [0.0] * 6), (550, [float("nan")] + [0.0] * 7), (600, [float("inf")] * 8), (650, [0.0] * 8), (700, [0.25, -0.25] + [0.0] * 6), (701, [0.25, -0.25] + [0.0] * 6), (750, [1.0, 2.0]), (None, [0.0] * 8)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
     got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).toPandas()
@@ -200,6 +205,14 @@ def test_top_k(spark):
             best = sorted((-int(q @ v), j) for j, v in usable if j != i and len(v) == len(q))[:5]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == sorted(want)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 200)  # several blocks of queries
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    again = topk.top_k(vectors.unionByName(vectors.where("vec_id = 7")), F.col("vec_id") % 50 == 0, 5)
+    twice = usable + [x for x in usable if x[0] == 7]
+    want = [(i, r + 1, j, -s) for i, q in usable if i % 50 == 0 for r, (s, j) in enumerate(sorted((-int(q @ v), j) for j, v in twice if j != i and len(v) == len(q))[:5])]
+    assert sorted(tuple(x) for x in again.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+    with pytest.raises(Exception, match="products would not fit"):
+        topk.top_k(spark.createDataFrame([(0, [1e9]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
     lists = topk.Lists(np.arange(4000), np.eye(2, dtype=int).repeat(2000, axis=0) * np.arange(4000)[:, None])
     assert lists.top(np.array([1, 0]), -1, 3)[0].tolist() == [1999, 1998, 1997] and lists.read < 400
 
@@ -272,14 +285,94 @@ def test_personal_patterns():
         assert personal.base_spans(text) == sorted(want, key=lambda x: (x[0], personal.KINDS.index(x[2]))), text
 
 
+def test_best_paths_against_all_paths():
+    rng = np.random.default_rng(4)
+    tagger = Tagger.new(("email", "ip"), 3, 1)
+    n = len(tagger.tags)
+    tagger.p |= {"move": rng.normal(size=(n, n)), "begin": rng.normal(size=n), "finish": rng.normal(size=n)}
+    sequences = [rng.normal(size=(length, n)).astype(np.float32) for length in (1, 2, 3, 4, 5, 5, 3, 0)]
+    for e, tags in zip(sequences, tagger.viterbi(sequences), strict=True):
+        score = lambda path, e=e: sum(e[t, x] for t, x in enumerate(path)) + sum(tagger.p["move"][a, b] for a, b in itertools.pairwise(path)) + tagger.p["begin"][path[0]] + tagger.p["finish"][path[-1]]
+        want = max(itertools.product(range(n), repeat=len(e)), key=score) if len(e) else ()
+        assert tuple(tags.tolist()) == tuple(want)
+
+
+def test_gradients_of_the_sequence_model():
+    rng = np.random.default_rng(5)
+    tagger = Tagger.new(("ip",), 4, 2)
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    ids, gold = rng.integers(0, 22, (6, 3)), rng.integers(0, len(tagger.tags), (6, 3))
+    _, g = tagger.step(ids, gold)
+    for name, values in tagger.p.items():
+        at = tuple(rng.integers(0, size) for size in values.shape)
+        was, losses = values[at], []
+        for change in (1e-5, -1e-5):
+            values[at] = was + change
+            losses.append(tagger.step(ids, gold)[0])
+        values[at] = was
+        assert abs((losses[0] - losses[1]) / 2e-5 - g[name][at]) < 1e-5, name
+
+
+def test_overlapping_windows_are_decoded_as_one_stretch():
+    tagger, text = personal.trained(), "x" * 40 + " call (766) 555-9970 or (212) 555-0199 or write " + "y" * 30
+    anchors = [[m.start() for m in re.finditer("[0-9@]", text)]]
+    windows = sorted({w for p in anchors[0] for w in (p // tagger_module.STRIDE - 1, p // tagger_module.STRIDE)})
+    total, weight = np.zeros((len(text), len(tagger.tags))), np.zeros(len(text))
+    for w in windows:
+        low = w * tagger_module.STRIDE
+        ids = np.array([tagger_module.classes(text[p])[0] if 0 <= p < len(text) else 0 for p in range(low, low + tagger_module.WINDOW)])
+        found = tagger.emissions(ids[:, None])[:, 0]
+        for k in range(tagger_module.WINDOW):
+            if 0 <= low + k < len(text):
+                near = tagger_module.WINDOW / 2 - abs(k - (tagger_module.WINDOW - 1) / 2)
+                total[low + k] += near * found[k]
+                weight[low + k] += near
+    start, end = max(0, windows[0] * tagger_module.STRIDE), min(len(text), windows[-1] * tagger_module.STRIDE + tagger_module.WINDOW)
+    tags = tagger.viterbi([(total / np.maximum(weight, 1e-9)[:, None])[start:end].astype(np.float32)])[0]
+    assert tagger.spans([text, ""], [anchors[0], []]) == [[(start + s, start + e, k) for s, e, k in tagger.spans_of(tags)], []]
+    assert [text[s:e] for s, e, _ in tagger.spans([text], anchors)[0]] == ["(766) 555-9970", "(212) 555-0199"]
+
+
+def test_label_model_against_plain_steps():
+    """The same steps, document by document, over three labellers that vote yes, no or nothing."""
+    rng = random.Random(6)
+    votes = []
+    for _ in range(400):
+        truth = rng.random() < 0.3
+        votes.append("".join("-" if rng.random() > s else str(int(truth == (rng.random() < a))) for a, s in ((0.9, 0.9), (0.8, 0.8), (0.7, 0.6))))
+    post = [0.5 + 0.45 * x.count("1") / max(1, x.count("1") + 0.25 * x.count("0")) if "1" in x else 0.02 for x in votes]
+    for _ in range(100):
+        share = (sum(post) + 1) / (len(votes) + 2)
+        table = {}
+        for k in range(3):
+            for c in (0, 1):
+                n = {v: ((0.1, 2.0)[c == int(v)] if v != "-" else 0.5) for v in "01-"}
+                for x, p in zip(votes, post, strict=True):
+                    n[x[k]] += p if c else 1 - p
+                table |= {(k, c, v): m / sum(n.values()) for v, m in n.items()}
+        model = quality.LabelModel.fit({x: votes.count(x) for x in set(votes)}, rounds=_ + 1) if _ in (0, 9, 99) else None
+        last = post
+        post = []
+        for x in votes:
+            odds = math.log(share / (1 - share)) + sum(math.log(table[k, 1, v] / table[k, 0, v]) for k, v in enumerate(x) if v != "-")
+            post.append(0.0 if set(x) == {"-"} else 1 / (1 + math.exp(-odds)))
+        if model:
+            assert abs(model.share - share) < 1e-9 and len(last) == len(post)
+            assert all(abs(model.posterior(x) - p) < 1e-9 for x, p in zip(votes, post, strict=True))
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    classifier = quality.train(docs, labels)
+    docs, known = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    # Held out: the learned labeller sees one half of the labels, the shares are taken from the other.
+    labels = known.where("doc_id % 2 = 1")
+    classifier = quality.train(docs, known.where("doc_id % 2 = 0"))
     got = quality.classify(docs, classifier).join(labels, "doc_id").toPandas()
     clean = got[(got.quality == 1) & (got.toxic == 0)]
     assert clean.kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.2 and got[(got.quality == 1) & (got.toxic == 1)].kept.mean() < 0.4
-    odd = documents(spark, [None, "", "   ", "x"], extra=True)
+    odd = documents(spark, [None, "", "   ", "x", "word " * 60_000], extra=True)
+    twice = quality.classify(odd.unionByName(odd), classifier)
+    assert twice.count() == 10 and twice.select("doc_id", "junk", "abuse", "kept").distinct().count() == 5
     assert {x.doc_id for x in quality.classify(odd, classifier).where("kept").collect()} >= {0, 1, 2} and quality.kept_documents(odd, classifier).columns == odd.columns
     assert quality.classify(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).count() == 0
 
@@ -350,6 +443,46 @@ def test_token_file_reads_only_what_is_asked_for():
         list(token_files.Reader(io.BytesIO(bytes(damaged))).documents())
 
 
+def test_empty_tables_and_repeated_rows(spark):
+    ranks, words = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "mail a.b@example.com token=abcd1234 x", "en", "s", 1)] * 3 + [(None, "mail a.b@example.com token=abcd1234 x", "en", "s", 1), (None, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    bench = spark.createDataFrame([(1, "mail a.b@example.com")], "item_id long, text string").withColumn("key", F.lit("clash"))
+    clash = docs.withColumns({c: F.lit("clash") for c in ("key", "hits", "items", "n_words", "ids", "tie", "shard")})
+    for run in (
+        lambda d: token_files.read(*token_files.write(d, words, end_id=2)), lambda d: personal.scan(d), lambda d: secrets.digest(secrets.scan(d)), lambda d: bpe.digest_documents(d, ranks, public_tokenizers.PATTERN),
+        lambda d: contamination.digest(contamination.scan(d, bench)), lambda d: repeats.find(d), lambda d: near_duplicates.find(d),
+    ):
+        got = run(clash).collect()
+        assert len(got) == 5 and sum(x.doc_id is None for x in got) == 2
+        assert len({str({k: v for k, v in x.asDict().items() if k != "start"}) for x in got if x.doc_id == 1}) == 1
+        assert run(clash.limit(0)).count() == 0
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.rule_table(spark, queries.URL_RULES)).count() == 0
+
+
+def test_many_shapes_of_url_rules(spark):
+    rules = [("block", f"{'a.' * k}com/{'x' * n}") for k in range(12) for n in range(12)] + [("allow", "b.com/" + "y" * 3000), ("block", ".".join(["l"] * 200) + "/")]
+    pages = spark.createDataFrame([(0, f"http://{'a.' * 5}com/{'x' * 7}z"), (1, "http://c.b.com/" + "y" * 3001), (2, f"http://q.{'.'.join(['l'] * 200)}/"), (3, "http://xcom/x")], "page_id long, url string")
+    got = urls.judge(pages, urls.rule_table(spark, rules)).orderBy("page_id").collect()
+    assert [x.rule for x in got] == [f"{'a.' * 5}com/{'x' * 7}", "b.com/" + "y" * 3000, ".".join(["l"] * 200) + "/", None]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "x y", "en", "s", 3), (3, prose(80, 40), "en", "s", 1), (4, prose(80, 40), "en", "s", 1), (5, f"{prose(81, 30)} {prose(82, 12)}", None, None, 1), (6, "token=abcd1234 " + prose(83, 20), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("key", "id", "spans", "kept", "content")})
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for folder in "ab":
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame([(1, prose(82, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((x.doc_id or 0) for x in got) == [0, 1, 2, 3, 6]
+    assert {x.doc_id: x.decoded_sha256 for x in got}[6] == hashlib.sha256(("[SECRET] " + prose(83, 20)).encode()).hexdigest()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline_against_plain_code(spark, tmp_path):
     import corpus_pipeline
 
