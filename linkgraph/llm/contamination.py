@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm import _shared, _text
@@ -24,6 +24,8 @@ WINDOW, K = 10, 5
 SPAN = WINDOW - K + 1
 #: Characters of benchmark items that are broadcast at once; more are taken in slices of this size.
 BROADCAST_CHARS = 16_000_000
+#: Most words of a piece of an item, where items are taken in slices.
+PIECE = 1_000
 
 
 def winnow(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -156,16 +158,44 @@ _HITS = "array<struct<s:int,e:int>>"
 _HITS_ARROW = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of more than PIECE words as several of the same name, which together have the same windows."""
+    for batch in batches:
+        for part in _text.slices(batch.column(1)):
+            starts, ends, first = part.words(_text.ALNUM)
+            owners, texts = [], []
+            for d, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                for at in range(low, max(low + 1, high - WINDOW + 1), PIECE - WINDOW + 1):
+                    some = slice(at, min(at + PIECE, high))
+                    owners.append(part.first + d)
+                    texts.append(b" ".join(part.data[s:e].tobytes() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(texts, pa.string())], ["name", "text"])
+
+
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Callable[[], Broadcast]]:
-    """What broadcasts each slice of the items; a slice is collected only when its turn comes."""
+    """What broadcasts each slice of the items; a slice is collected only when its turn comes.
+
+    Where all items are too many for one, they are cut into pieces, and these into so many slices
+    that none is larger than BROADCAST_CHARS, or than two pieces, should their words be that long.
+    """
     items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("text")).dropna(subset=["text"])
-    size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    passes = -(-2 * size // BROADCAST_CHARS) if size > BROADCAST_CHARS else 1
+    chars, passes = F.char_length("text"), 1
+    if items.agg(F.coalesce(F.sum(chars), F.lit(0))).first()[0] > BROADCAST_CHARS:
+        items = _shared.written(items.mapInArrow(_pieces, "name string, text string").distinct(), "items")
+        size, longest = items.agg(F.coalesce(F.sum(chars), F.lit(0)), F.coalesce(F.max(chars), F.lit(0))).first()
+        passes = max(1, -(-2 * size // BROADCAST_CHARS))
+        most = F.max("chars").alias("most")
+        while (items.groupBy(_slice(passes)).agg(F.sum(chars).alias("chars")).agg(most).first().most or 0) > max(BROADCAST_CHARS, 2 * longest):
+            passes *= 2
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k) if passes > 1 else items
+        part = items.where(_slice(passes) == k) if passes > 1 else items
         yield lambda part=part: benchmark.sparkSession.sparkContext.broadcast(Index([(x.name, x.text) for x in part.collect()]))
 
 
+def _slice(passes: int) -> Column:
+    return F.pmod(F.xxhash64("name", "text"), F.lit(passes))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs without any occurrence of an item's window, with all their columns."""
     place = docs.columns.index(text_col)

@@ -181,6 +181,19 @@ def test_contamination_by_items_without_a_name(spark, monkeypatch):
         assert {x.doc_id for x in contamination.clean_documents(docs, bench).collect()} == {4, 5}
 
 
+def test_contamination_by_items_of_several_pieces(spark, monkeypatch):
+    long = prose(40, 2 * contamination.PIECE + 300)
+    words, edge = long.split(), contamination.PIECE
+    items = [(1, long), (2, prose(41, 15)), (3, long), (None, long), (1, prose(41, 15)), (4, "x " * 1500), (5, "")]
+    inside = [*(" ".join(words[a : a + n]) for a, n in ((edge - 15, 22), (edge - 10, 10), (edge - 9, 10), (2 * edge - 19, 10), (len(words) - 10, 10), (0, 9))), f"{prose(42, 50)} {long}", "X-" * 10, "x " * 9, None]
+    docs, bench = documents(spark, inside), spark.createDataFrame(items, "item_id long, text string")
+    want = oracle("op9_contamination", documents=docs.select("doc_id", "text").toPandas(), benchmark=bench.toPandas().astype({"item_id": "Int64"}))
+    assert want.sort_values("doc_id").n_hit.tolist()[:6] == [22, 10, 10, 10, 10, 0]
+    monkeypatch.setattr(contamination, "BROADCAST_CHARS", 30_000)
+    assert len(list(contamination._indexes(bench, "item_id", "text"))) > 1
+    same(contamination.digest(contamination.scan(docs, bench)).toPandas(), want)
+
+
 def test_url_rules(spark):
     hosts = ["com", "a.example.com", "EXAMPLE.com", "xexample.com", "example.net", "b.c.net", "org", "e.org", "", "com.", "user@example.com:80"]
     tails = ["/en/7", "/en/71?x", "/en/6", "/de/8#f", "/de/9", "/es/", "/es", "", "?q=/en/", "#/en/", "/EN/7"]
