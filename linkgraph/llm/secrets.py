@@ -129,8 +129,9 @@ def listed(spans: Column) -> Column:
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """From scan: id_col, n_assign, n_access, n_hex long, base_sha256 and spans string."""
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select(id_col, *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    # The lambda takes one parameter: Spark would pass the index of the span as a second one, with a default or without.
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select(id_col, *map(count, range(3)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
